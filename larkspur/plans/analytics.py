@@ -16,8 +16,6 @@ from larkspur.context import FUNNEL
 from larkspur.functions.exprs import age_days, div, is_kind, moment, month, month_index, pct, rnd
 from larkspur.operators.features import Layer
 
-ALL = W.partitionBy()
-
 
 def _dbl(x: str | Column) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("double")
@@ -39,13 +37,13 @@ def _log(layer: Layer, *info: str) -> DataFrame:
 def top_products_revenue(layer: Layer, limit: int = 25) -> DataFrame:
     rows = _lines(layer, "name", "category_name", "brand").groupBy("product_id", F.col("name").alias("product_name"), "category_name", "brand")
     rows = rows.agg(F.count_distinct("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), _dbl(F.sum("revenue")).alias("revenue"), rnd(F.avg("unit_price"), 2).alias("average_selling_price"))
-    rows = rows.withColumn("pct_of_total_revenue", pct("revenue", _dbl(F.sum(F.col("revenue").cast("decimal(18,2)")).over(ALL)), 3))
+    rows = rows.withColumn("pct_of_total_revenue", pct("revenue", _dbl(F.sum(F.col("revenue").cast("decimal(18,2)")).over(W.partitionBy())), 3))
     return rows.orderBy(F.desc("revenue"), "product_id").limit(limit)
 
 
 def revenue_by_category(layer: Layer) -> DataFrame:
     rows = _lines(layer, "category_name").groupBy("category_name").agg(F.count_distinct("order_id").alias("orders"), F.count_distinct("user_id").alias("customers"), F.sum("revenue").alias("r"))
-    return rows.select("category_name", "orders", "customers", _dbl("r").alias("revenue"), pct("r", _dbl(F.sum("r").over(ALL))).alias("pct_of_revenue"), F.rank().over(W.orderBy(F.desc("r"))).alias("revenue_rank"))
+    return rows.select("category_name", "orders", "customers", _dbl("r").alias("revenue"), pct("r", _dbl(F.sum("r").over(W.partitionBy()))).alias("pct_of_revenue"), F.rank().over(W.orderBy(F.desc("r"))).alias("revenue_rank"))
 
 
 def monthly_revenue(layer: Layer) -> DataFrame:
@@ -70,7 +68,7 @@ def average_order_value(layer: Layer) -> DataFrame:
     rows = _orders(layer).join(units, "order_id", "left").groupBy(month("order_date").alias("month"))
     rows = rows.agg(F.count("*").alias("orders"), F.sum("total_amount").alias("r"), F.median(_dbl("total_amount")).alias("m"), rnd(div(F.sum("units"), F.count("units")), 2).alias("average_basket_size"))
     value = div("r", "orders")
-    return rows.select("month", "orders", rnd(value, 2).alias("average_order_value"), rnd("m", 2).alias("median_order_value"), "average_basket_size", rnd(F.avg(value).over(ALL), 2).alias("average_across_all_months"))
+    return rows.select("month", "orders", rnd(value, 2).alias("average_order_value"), rnd("m", 2).alias("median_order_value"), "average_basket_size", rnd(F.avg(value).over(W.partitionBy()), 2).alias("average_across_all_months"))
 
 
 def customer_ltv(layer: Layer, limit: int = 50) -> DataFrame:
@@ -109,9 +107,9 @@ def purchase_frequency(layer: Layer) -> DataFrame:
     for top, name in reversed(BANDS):
         band = F.when(F.col("orders") <= top, name).otherwise(band)
     rows = _orders(layer).groupBy("user_id").agg(F.count("*").alias("orders")).groupBy(band.alias("frequency_band")).agg(F.count("*").alias("customers"), F.sum("orders").alias("total_orders"))
-    total = F.sum("customers").over(ALL)
+    total = F.sum("customers").over(W.partitionBy())
     running = F.sum("customers").over(W.orderBy("frequency_band").rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("frequency_band", "customers", "total_orders", pct("customers", total).alias("pct_of_customers"), pct("total_orders", F.sum("total_orders").over(ALL)).alias("pct_of_orders"), pct(running, total).alias("cumulative_pct_customers"))
+    return rows.select("frequency_band", "customers", "total_orders", pct("customers", total).alias("pct_of_customers"), pct("total_orders", F.sum("total_orders").over(W.partitionBy())).alias("pct_of_orders"), pct(running, total).alias("cumulative_pct_customers"))
 
 
 def most_viewed(layer: Layer, limit: int = 25) -> DataFrame:
@@ -238,14 +236,14 @@ def rank_in_category(layer: Layer, limit: int = 200) -> DataFrame:
 def pareto(layer: Layer, limit: int = 100) -> DataFrame:
     rows = _lines(layer, "name", "category_name").groupBy("product_id", F.col("name").alias("product_name"), "category_name").agg(F.sum("revenue").alias("r"))
     most = W.orderBy(F.desc("r"), "product_id")
-    total, place = _dbl(F.sum("r").over(ALL)), F.row_number().over(most)
-    rows = rows.select(place.alias("revenue_rank"), "product_id", "product_name", "category_name", _dbl("r").alias("revenue"), pct("r", total, 4).alias("pct_of_revenue"), pct(F.sum("r").over(most.rowsBetween(W.unboundedPreceding, 0)), total).alias("cumulative_pct_of_revenue"), pct(place, F.count("*").over(ALL)).alias("cumulative_pct_of_catalogue"))
+    total, place = _dbl(F.sum("r").over(W.partitionBy())), F.row_number().over(most)
+    rows = rows.select(place.alias("revenue_rank"), "product_id", "product_name", "category_name", _dbl("r").alias("revenue"), pct("r", total, 4).alias("pct_of_revenue"), pct(F.sum("r").over(most.rowsBetween(W.unboundedPreceding, 0)), total).alias("cumulative_pct_of_revenue"), pct(place, F.count("*").over(W.partitionBy())).alias("cumulative_pct_of_catalogue"))
     return rows.orderBy("revenue_rank").limit(limit)
 
 
 def top_decile_customers(layer: Layer, percentile: float = 0.90) -> DataFrame:
     rows = _orders(layer).groupBy("user_id").agg(F.count_distinct("order_id").alias("orders"), F.sum("total_amount").alias("r"))
-    rows = rows.withColumns({"p": F.percent_rank().over(W.orderBy("r")), "total": F.sum("r").over(ALL)}).where(F.col("p") >= percentile)
+    rows = rows.withColumns({"p": F.percent_rank().over(W.orderBy("r")), "total": F.sum("r").over(W.partitionBy())}).where(F.col("p") >= percentile)
     return rows.agg(F.count("*").alias("top_decile_customers"), _dbl(F.sum("r")).alias("top_decile_revenue"), pct(F.sum("r"), F.max("total")).alias("pct_of_all_revenue"), rnd(div(F.sum("r"), F.count("*")), 2).alias("average_revenue_per_customer"), rnd(F.avg("orders"), 2).alias("average_orders_per_customer"))
 
 
@@ -277,7 +275,7 @@ def price_bands(layer: Layer, low: float = 900.0, high: float = 1000.0, bands: i
     band = F.width_bucket(F.ln("price"), F.ln(F.lit(low)), F.ln(F.lit(high)), F.lit(bands))
     rows = layer.retail.products.select("product_id", "price").join(sold, "product_id", "left").groupBy(band.cast("int").alias("price_band"))
     rows = rows.agg(rnd(F.min("price"), 2).alias("band_min_price"), rnd(F.max("price"), 2).alias("band_max_price"), F.count_distinct("product_id").alias("products"), F.coalesce(F.sum("q"), F.lit(0)).alias("units_sold"), F.coalesce(F.sum("r"), F.lit(0)).alias("r"))
-    return rows.withColumns({"revenue": _dbl("r"), "pct_of_revenue": pct("r", _dbl(F.sum("r").over(ALL)))}).drop("r")
+    return rows.withColumns({"revenue": _dbl("r"), "pct_of_revenue": pct("r", _dbl(F.sum("r").over(W.partitionBy())))}).drop("r")
 
 
 def brand_performance(layer: Layer) -> DataFrame:
