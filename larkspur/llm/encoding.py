@@ -80,6 +80,7 @@ class PieceCache:
         self.tokenizer, self.value, self.lower = tokenizer, value, lower
         self.kept: dict[str, object] = {}
         self.words: dict[str, object] = {}
+        self.firsts: dict[str, object] = {}
         self.tails: dict[str, object] = {"": value([])}
 
     def _ask(self, texts: list[str]) -> list:
@@ -107,24 +108,32 @@ class PieceCache:
     def of(self, text: str) -> list:
         """The value of each piece of ``text``, in order."""
         first, rest = pieces(text)
-        kept = self.kept
-        try:
-            out = [kept[p] for p in rest]
-        except KeyError:
-            found: dict[str, object] = {}
-            others: list[str] = []
-            for p in rest:
-                if p not in kept and p not in found:
-                    found[p] = self._plain(p)
-                    if found[p] is None:
-                        others.append(p)
-            found.update(zip(others, self._ask([" " + p for p in others]), strict=True))
-            out = [found[p] if p in found else kept[p] for p in rest]
-            kept.update((p, v) for p, v in found.items() if len(p) <= CACHE_CHARS)
-            if len(kept) > CACHE_PIECES or len(self.words) > CACHE_PIECES:
-                kept.clear()
-                self.words.clear()
-        return [*self._ask([first]), *out]
+        out = list(map(self.kept.get, rest))
+        if None in out:
+            out = self._filled(rest, out)
+        start = self.firsts.get(first)
+        if start is None:
+            start = self._ask([first])[0]
+            if len(first) <= CACHE_CHARS and len(self.firsts) < CACHE_PIECES:
+                self.firsts[first] = start
+        out.insert(0, start)
+        return out
+
+    def _filled(self, rest: list[str], out: list) -> list:
+        """``out`` with the values that the cache did not have, which it then keeps."""
+        missing = {rest[i]: None for i, v in enumerate(out) if v is None}
+        others = []
+        for p in missing:
+            value = missing[p] = self._plain(p)
+            if value is None:
+                others.append(p)
+        missing.update(zip(others, self._ask([" " + p for p in others]), strict=True))
+        out = [missing[p] if v is None else v for p, v in zip(rest, out, strict=True)]
+        if len(self.kept) > CACHE_PIECES or len(self.words) > CACHE_PIECES:
+            self.kept.clear()
+            self.words.clear()
+        self.kept.update((p, v) for p, v in missing.items() if len(p) <= CACHE_CHARS)
+        return out
 
 
 def ids_as_bytes(ids: list[int]) -> bytes:
