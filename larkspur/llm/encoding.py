@@ -10,17 +10,15 @@ special strings in one piece, because these hold no space.
 from __future__ import annotations
 
 import os
-import re
+import sys
+from array import array
 from collections.abc import Callable
 
-import numpy as np
-
 from larkspur.llm.common import by_bytes
 
-#: White space next to a space, or a space at either end: no plain cut there.
-_ODD = re.compile(r"\s | \s|\A | \Z")
-#: Pieces kept at most, and the longest piece kept, in characters.
-CACHE_PIECES = 500_000
+#: Pieces kept at most in each of two generations, and the longest piece kept,
+#: in characters.
+CACHE_PIECES = 400_000
 CACHE_CHARS = 64
 #: Bytes given to the library at once.
 BATCH_BYTES = 1 << 18
@@ -38,13 +36,12 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def pieces(text: str) -> tuple[str, list[str]]:
-    """The first piece, and the later pieces, each without the space before it."""
-    if not _ODD.search(text):
-        first, *rest = text.split(" ")
-        return first, rest
+def pieces(parts: list[str]) -> tuple[str, list[str]]:
+    """The first piece, and the later pieces, each without the space before it,
+    of a text that was split at every space: parts are joined again where a
+    neighbour of the space is white space or the text's end."""
     units: list[str] = []
-    for i, part in enumerate(text.split(" ")):
+    for i, part in enumerate(parts):
         if i and part and not part[0].isspace() and units[-1] and not units[-1][-1].isspace():
             units.append(part)
         elif units:
@@ -79,6 +76,7 @@ class PieceCache:
     def __init__(self, tokenizer, value: Callable, lower: bool) -> None:
         self.tokenizer, self.value, self.lower = tokenizer, value, lower
         self.kept: dict[str, object] = {}
+        self.older: dict[str, object] = {}  # what was kept before; a piece found here is kept again
         self.words: dict[str, object] = {}
         self.firsts: dict[str, object] = {}
         self.tails: dict[str, object] = {"": value([])}
@@ -92,12 +90,17 @@ class PieceCache:
     def _plain(self, piece: str):
         """The value of letters and marks, or None for any other piece."""
         core = piece.rstrip(_TAIL)
-        if not core.isalpha() or max(core) >= "\u0130" or len(core) > CACHE_CHARS:
+        ascii_only = core.isascii()
+        if not core.isalpha() or len(core) > CACHE_CHARS or not (ascii_only or max(core) < "\u0130"):
             return None
         word = self.words.get(core)
         if word is None:
-            shown = core.lower() if self.lower else " " + core
-            word = self.words[core] = self.value([t.id for t in self.tokenizer.model.tokenize(shown.encode().decode("latin-1").translate(_LETTERS))])
+            shown = core.lower() if self.lower else core
+            if not ascii_only:
+                shown = shown.encode().decode("latin-1").translate(_LETTERS)
+            if not self.lower:
+                shown = _LETTERS[0x20] + shown
+            word = self.words[core] = self.value([t.id for t in self.tokenizer.model.tokenize(shown)])
         tail = self.tails.get(marks := piece[len(core) :])
         if tail is None:
             tail = self._ask([marks])[0]
@@ -106,38 +109,66 @@ class PieceCache:
         return word + tail
 
     def of(self, text: str) -> list:
-        """The value of each piece of ``text``, in order."""
-        first, rest = pieces(text)
+        """The value of each piece of ``text``, in order.
+
+        The text is first split at every space. Only parts without white space
+        at either end are ever kept, so a text whose parts are all found has
+        safe cuts only; the others are looked at part by part.
+        """
+        first, *rest = parts = text.split(" ")
+        if rest and (not first or first[-1].isspace()):
+            return self._joined(parts)
         out = list(map(self.kept.get, rest))
         if None in out:
-            out = self._filled(rest, out)
+            missing = {p: None for p, v in zip(rest, out, strict=True) if v is None}
+            others = []
+            for p in missing:
+                value = missing[p] = self.older.get(p) or self._plain(p)
+                if value is None:
+                    if not p or p[0].isspace() or p[-1].isspace():
+                        return self._joined(parts)
+                    others.append(p)
+            out = self._filled(rest, out, missing, others)
+        out.insert(0, self._first(first))
+        return out
+
+    def _joined(self, parts: list[str]) -> list:
+        """``of`` for a text some of whose spaces are no safe cuts."""
+        first, rest = pieces(parts)
+        out = list(map(self.kept.get, rest))
+        missing = {p: self._plain(p) for p, v in zip(rest, out, strict=True) if v is None}
+        others = [p for p, v in missing.items() if v is None]
+        return [self._first(first), *self._filled(rest, out, missing, others)]
+
+    def _first(self, first: str):
         start = self.firsts.get(first)
         if start is None:
             start = self._ask([first])[0]
             if len(first) <= CACHE_CHARS and len(self.firsts) < CACHE_PIECES:
                 self.firsts[first] = start
-        out.insert(0, start)
-        return out
+        return start
 
-    def _filled(self, rest: list[str], out: list) -> list:
+    def _filled(self, rest: list[str], out: list, missing: dict, others: list[str]) -> list:
         """``out`` with the values that the cache did not have, which it then keeps."""
-        missing = {rest[i]: None for i, v in enumerate(out) if v is None}
-        others = []
-        for p in missing:
-            value = missing[p] = self._plain(p)
-            if value is None:
-                others.append(p)
         missing.update(zip(others, self._ask([" " + p for p in others]), strict=True))
         out = [missing[p] if v is None else v for p, v in zip(rest, out, strict=True)]
-        if len(self.kept) > CACHE_PIECES or len(self.words) > CACHE_PIECES:
-            self.kept.clear()
+        if len(self.kept) > CACHE_PIECES:
+            self.older, self.kept = self.kept, {}
+        if len(self.words) > CACHE_PIECES:
             self.words.clear()
-        self.kept.update((p, v) for p, v in missing.items() if len(p) <= CACHE_CHARS)
+        for p in others:
+            if len(p) > CACHE_CHARS or p[-1].isspace():
+                del missing[p]
+        self.kept.update(missing)
         return out
 
 
 def ids_as_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    """The ids as little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
 
 
 _CACHES: dict[tuple, object] = {}
