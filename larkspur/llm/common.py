@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts may be long, so batches are kept short.
+#: Rows and bytes of one Arrow batch. Texts may be long, so batches are kept short.
 ARROW_ROWS = 512
+ARROW_BYTES = 4 << 20
+#: Bytes that a task holds of a Parquet file it writes to shared storage.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -24,6 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     only matters where workers share the driver's file system.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -56,7 +60,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -181,27 +181,29 @@ def _long_list_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidate_lists(sketches: DataFrame, percent: int) -> DataFrame:
-    """value, id, n, leader, holders: the inverted lists after each document has
-    left out its most frequent values. Values of a single holder are in no list."""
+    """value, id, n, leader, leader_n, holders: the inverted lists after each
+    document has left out its most frequent values. Values of a single holder are
+    in no list; leader is a list's least document, leader_n its number of shingles."""
     flat = sketches.select(F.col("doc_id").alias("id"), "n", F.explode(F.slice("sketch", 1, K)).alias("value"))
-    lists = flat.groupBy("value").agg(F.count("id").alias("holders"), F.min("id").alias("leader")).where("holders > 1")
+    lists = flat.groupBy("value").agg(F.count("id").alias("holders"), F.min(F.struct("id", "n")).alias("least")).where("holders > 1")
+    lists = lists.select("value", "holders", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n"))
     shared = flat.join(lists, "value")
     spare = F.least(F.floor((F.col("n") * percent + 99) / 100) - 1, F.lit(SHARED - 1))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("holders"), "value"))
-    return shared.withColumn("rank", rank).where(F.col("rank") > spare).select("value", "id", "n", "leader", "holders")
+    return shared.withColumn("rank", rank).where(F.col("rank") > spare).select("value", "id", "n", "leader", "leader_n", "holders")
 
 
 def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect all similar documents of different sets.
 
-    First every document of a list is held against the list's least document:
-    that joins a group of any size with as many pairs as members. Then only
+    First every document of a list is held against the list's least document,
+    where their sizes allow a link: that joins a group of any size with as many pairs as members. Then only
     lists whose documents are in several components are compared further, and
     there only documents of different components, so no pair that could join
     two components is left out.
     """
     lists = stored(candidate_lists(sketches, percent), "lists")
-    stars = lists.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = lists.where("id <> leader").where(_similar_size("n", "leader_n", percent)).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     first = stored(verified(stored(estimated(stars, sketches, percent), "candidates"), docs, words, percent), "links")
     found = components(first)
     members = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
