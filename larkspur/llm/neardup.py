@@ -34,7 +34,9 @@ K, SHARED = 64, 32
 WIDE, WIDE_SHARED = 192, 120
 #: Lists up to this long are joined with themselves; longer ones are compared
 #: block by block in numpy, with blocks of about ``BLOCK`` documents.
-SHORT, BLOCK = 32, 512
+SHORT, BLOCK = 32, 2048
+#: Rows of a block compared at once.
+_ROWS = 512
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 
@@ -148,27 +150,7 @@ def _long_list_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
     if not len(left) or not len(right):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
-    def flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        lengths = side["sketch"].map(len).to_numpy()
-        return np.repeat(np.arange(len(side)), lengths), np.concatenate(side["sketch"].to_list())
-
-    (rows_l, values_l), (rows_r, values_r) = flat(left), flat(right)
-    vocabulary = np.intersect1d(values_l, values_r)
-    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-    for start in range(0, len(vocabulary), 4096):
-        part = vocabulary[start : start + 4096]
-        tables = []
-        for rows, values, n in ((rows_l, values_l, len(left)), (rows_r, values_r, len(right))):
-            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
-            hit = part[at] == values
-            table = np.zeros((n, len(part)), dtype=np.float32)
-            table[rows[hit], at[hit]] = 1
-            tables.append(table)
-        overlap += tables[0] @ tables[1].T
-    nl, nr = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    most = np.maximum(nl, nr)
-    exact = (most <= WIDE) & (overlap * 100 >= (nl + nr - overlap) * percent)
-    good = exact | (most > WIDE) & (overlap * WIDE >= np.float32(WIDE * WIDE_SHARED)) & (np.minimum(nl, nr) * 100 >= most * percent)
+    good, exact = _overlapping(left, right, percent)
     good &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
     if same:
         good &= left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]
@@ -176,10 +158,68 @@ def _long_list_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
     sure = exact[i, j]
     first, second = i[sure], j[sure]
     some = _forest(first, second + (0 if same else len(left)), len(left) + len(right))
-    i, j = np.concatenate([first[some], i[~sure]]), np.concatenate([second[some], j[~sure]])
+    i, j = i[~sure], j[~sure]
+    near = _union_sketch(_padded(left), _padded(right), i, j)
+    i, j = np.concatenate([first[some], i[near]]), np.concatenate([second[some], j[near]])
     return pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
 
 
+def _overlapping(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs share enough sketch values, and which of them are decided exactly."""
+
+    def flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        lengths = side["sketch"].map(len).to_numpy()
+        return np.repeat(np.arange(len(side)), lengths), np.concatenate(side["sketch"].to_list())
+
+    good = np.zeros((len(left), len(right)), dtype=bool)
+    exact = np.zeros_like(good)
+    rows_r, values_r = flat(right)
+    distinct_r = np.unique(values_r)
+    for top in range(0, len(left), _ROWS):
+        some = left.iloc[top : top + _ROWS]
+        rows_l, values_l = flat(some)
+        vocabulary = np.intersect1d(np.unique(values_l), distinct_r, assume_unique=True)
+        overlap = np.zeros((len(some), len(right)), dtype=np.float32)
+        for start in range(0, len(vocabulary), 2048):
+            part = vocabulary[start : start + 2048]
+            tables = []
+            for rows, values, n in ((rows_l, values_l, len(some)), (rows_r, values_r, len(right))):
+                at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+                hit = part[at] == values
+                table = np.zeros((n, len(part)), dtype=np.float32)
+                table[rows[hit], at[hit]] = 1
+                tables.append(table)
+            overlap += tables[0] @ tables[1].T
+        nl, nr = some["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+        most = np.maximum(nl, nr)
+        whole = (most <= WIDE) & (overlap * 100 >= (nl + nr - overlap) * percent)
+        exact[top : top + _ROWS] = whole
+        good[top : top + _ROWS] = whole | (most > WIDE) & (overlap * WIDE >= np.float32(WIDE_SHARED) * np.minimum(nl + nr - overlap, WIDE)) & (np.minimum(nl, nr) * 100 >= most * percent)
+    return good, exact
+
+
+def _padded(side: pd.DataFrame) -> np.ndarray:
+    """The sketches as rows of ``WIDE`` values, short ones filled with the largest."""
+    out = np.full((len(side), WIDE), np.iinfo(np.int64).max)
+    for row, sketch in zip(out, side["sketch"], strict=True):
+        row[: len(sketch)] = sketch
+    return out
+
+
+def _union_sketch(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) share ``WIDE_SHARED`` of ``WIDE`` least values of their union."""
+    near = np.zeros(len(i), dtype=bool)
+    for start in range(0, len(i), 4096):
+        at = slice(start, start + 4096)
+        values = np.sort(np.concatenate([left[i[at]], right[j[at]]], axis=1), axis=1)
+        real = values[:, 1:] < np.iinfo(np.int64).max
+        twice = (values[:, 1:] == values[:, :-1]) & real
+        order = 1 + np.cumsum(real & ~twice, axis=1)  # of each value among the distinct ones
+        shared = (twice & (order <= WIDE)).sum(axis=1)
+        near[at] = shared * WIDE >= np.minimum(order[:, -1], WIDE) * WIDE_SHARED
+    return near
+
+
 def candidate_lists(sketches: DataFrame, percent: int) -> DataFrame:
     """value, id, n, leader, leader_n, holders: the inverted lists after each
     document has left out its most frequent values. Values of a single holder are
@@ -200,7 +240,8 @@ def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> Dat
     where their sizes allow a link: that joins a group of any size with as many pairs as members. Then only
     lists whose documents are in several components are compared further, and
     there only documents of different components, so no pair that could join
-    two components is left out.
+    two components is left out. Lists of the same documents (by a 128-bit mark of
+    their ids) are compared once.
     """
     lists = stored(candidate_lists(sketches, percent), "lists")
     stars = lists.where("id <> leader").where(_similar_size("n", "leader_n", percent)).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
@@ -208,8 +249,9 @@ def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> Dat
     found = components(first)
     members = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     members = stored(members, "members")
-    several = members.groupBy("value").agg(F.count("id").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    several = several.where("lo < hi").select("value", "m")
+    marks = F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
+    several = members.groupBy("value").agg(F.count("id").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), *marks)
+    several = several.where("lo < hi").groupBy("m", "x", "y").agg(F.min("value").alias("value")).select("value", "m")
     open_lists = stored(members.join(several, "value"), "open")
     short = open_lists.where(F.col("m") <= SHORT)
     x, y = short.alias("x"), short.alias("y")
@@ -220,8 +262,8 @@ def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> Dat
     long = long.join(sketches.select(F.col("doc_id").alias("id"), "sketch"), "id")
     keyed = long.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "sketch")
     blocked = keyed.groupBy("value", "i", "j").applyInPandas(lambda frame: _long_list_pairs(percent, frame), "a long, b long")
-    rest = stored(pairs.unionByName(blocked).distinct(), "candidates")
-    second = verified(stored(estimated(rest, sketches, percent), "candidates"), docs, words, percent)
+    rest = stored(estimated(pairs.distinct(), sketches, percent).unionByName(blocked).distinct(), "candidates")
+    second = verified(rest, docs, words, percent)
     return first.union(stored(second, "links"))
 
 
