@@ -4,9 +4,9 @@ One hash function maps shingles to 64 bits; a document's sketch is its least
 hashes: ``K`` of them for candidates, ``WIDE`` for estimates. Inverted lists of the sketch values yield candidates, the sketch
 of a pair's union estimates its Jaccard similarity, and full sets decide.
 
-Two documents of similarity 0.8 share, of the 64 least values of their union,
-51 in the mean with a deviation of 3.2, so fewer than ``SHARED`` = 32 once in
-10^8 pairs. Hence each document may leave its ``SHARED`` - 1 most frequent
+Two documents of similarity 0.8 share, of the 32 least values of their union,
+26 in the mean with a deviation of 2.3, so fewer than ``SHARED`` = 12 about twice
+in 10^8 pairs. Hence each document may leave its ``SHARED`` - 1 most frequent
 values out of the lists (the pair's rarest common value is in neither's part),
 and with them the passages and lines that many documents share.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import components, prepare, stored, text_of
 
 WORDS, PERCENT = 5, 80
-K, SHARED = 64, 32
+K, SHARED = 32, 12
 #: Hashes of the wider sketch that estimates pairs, and how many of them a pair
 #: must share. The set of a document of at most ``WIDE`` shingles is its sketch,
 #: so pairs of such documents are decided exactly; beyond, a similarity of 0.8
@@ -67,16 +67,17 @@ def shingles(text: str, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (shingles), set_id (128-bit digest of the set, null if empty), sketch."""
+    """doc_id, n (shingles), set_id (128-bit digest of the set, null if empty), least
+    (the sketch for candidates) and sketch (the wider one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            sketches = pa.array([s[:WIDE] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), ids, sketches], names=["doc_id", "n", "set_id", "sketch"])
+            least, wide = (pa.array([s[:size] for s in sets], pa.list_(pa.int64())) for size in (K, WIDE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), ids, least, wide], names=["doc_id", "n", "set_id", "least", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n long, set_id binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n long, set_id binary, least array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -92,16 +93,28 @@ def _similar_size(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sketches allow a similarity of ``percent``."""
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, width: int, least_shared: int) -> DataFrame:
+    """Pairs (a, b) whose union sketches of ``width`` values allow a similarity of ``percent``.
+
+    ``sketches`` holds doc_id, n and sketch, a row per document.
+    """
     a = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").where(_similar_size("na", "nb", percent))
     shared = F.array_intersect("sa", "sb")
     whole = F.size(shared) * 100 >= (F.col("na") + F.col("nb") - F.size(shared)) * percent
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, WIDE)
-    part = F.size(F.array_intersect(union, shared)) * WIDE >= F.size(union) * WIDE_SHARED
-    return both.where(F.when(F.greatest("na", "nb") <= WIDE, whole).otherwise(part)).select("a", "b")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, width)
+    part = F.size(F.array_intersect(union, shared)) * width >= F.size(union) * least_shared
+    return both.where(F.when(F.greatest("na", "nb") <= width, whole).otherwise(part)).select("a", "b")
+
+
+def wide_sketches(prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """The wider sketches of the given documents only, a row per doc_id."""
+    return prints.select("doc_id", "n", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -111,7 +124,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     second member meets hot leaders; adaptive execution splits their pairs,
     while the leader's set is shuffled once.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = _ids(pairs).withColumnRenamed("doc_id", "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
     sets = stored(full_sets(texts.select("id", "text"), words), "sets")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
@@ -165,7 +178,10 @@ def _long_list_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _overlapping(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs share enough sketch values, and which of them are decided exactly."""
+    """Which pairs share enough sketch values, and which of them are decided exactly.
+
+    A value that one document alone holds is in no pair and left out.
+    """
 
     def flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         lengths = side["sketch"].map(len).to_numpy()
@@ -174,11 +190,12 @@ def _overlapping(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple
     good = np.zeros((len(left), len(right)), dtype=bool)
     exact = np.zeros_like(good)
     rows_r, values_r = flat(right)
-    distinct_r = np.unique(values_r)
+    held, holders = np.unique(values_r, return_counts=True)
+    useful = held[holders > 1] if left is right else held
     for top in range(0, len(left), _ROWS):
         some = left.iloc[top : top + _ROWS]
         rows_l, values_l = flat(some)
-        vocabulary = np.intersect1d(np.unique(values_l), distinct_r, assume_unique=True)
+        vocabulary = np.intersect1d(np.unique(values_l), useful, assume_unique=True)
         overlap = np.zeros((len(some), len(right)), dtype=np.float32)
         for start in range(0, len(vocabulary), 2048):
             part = vocabulary[start : start + 2048]
@@ -224,7 +241,7 @@ def candidate_lists(sketches: DataFrame, percent: int) -> DataFrame:
     """value, id, n, leader, leader_n, holders: the inverted lists after each
     document has left out its most frequent values. Values of a single holder are
     in no list; leader is a list's least document, leader_n its number of shingles."""
-    flat = sketches.select(F.col("doc_id").alias("id"), "n", F.explode(F.slice("sketch", 1, K)).alias("value"))
+    flat = sketches.select(F.col("doc_id").alias("id"), "n", F.explode("least").alias("value"))
     lists = flat.groupBy("value").agg(F.count("id").alias("holders"), F.min(F.struct("id", "n")).alias("least")).where("holders > 1")
     lists = lists.select("value", "holders", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n"))
     shared = flat.join(lists, "value")
@@ -233,19 +250,23 @@ def candidate_lists(sketches: DataFrame, percent: int) -> DataFrame:
     return shared.withColumn("rank", rank).where(F.col("rank") > spare).select("value", "id", "n", "leader", "leader_n", "holders")
 
 
-def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, prints: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect all similar documents of different sets.
 
-    First every document of a list is held against the list's least document,
-    where their sizes allow a link: that joins a group of any size with as many pairs as members. Then only
+    First every document is held against the least document that leads most of
+    its lists, among those of a size that allows a link: that joins a group of
+    any size with at most as many pairs as members. Then only
     lists whose documents are in several components are compared further, and
     there only documents of different components, so no pair that could join
     two components is left out. Lists of the same documents (by a 128-bit mark of
-    their ids) are compared once.
+    their ids) are compared once. The narrow ``sketches`` estimate all
+    pairs; the wider ones travel only for documents that are left then, and for
+    those of long lists.
     """
+    narrow = sketches.select("doc_id", "n", F.col("least").alias("sketch"))
     lists = stored(candidate_lists(sketches, percent), "lists")
-    stars = lists.where("id <> leader").where(_similar_size("n", "leader_n", percent)).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    first = stored(verified(stored(estimated(stars, sketches, percent), "candidates"), docs, words, percent), "links")
+    stars = lists.where("id <> leader").where(_similar_size("n", "leader_n", percent)).groupBy("id").agg(F.mode("leader", True).alias("b")).withColumnRenamed("id", "a")
+    first = stored(verified(stored(estimated(stars, narrow, percent, K, SHARED), "candidates"), docs, words, percent), "links")
     found = components(first)
     members = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     members = stored(members, "members")
@@ -259,10 +280,12 @@ def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> Dat
     pairs = x.join(y, near & _similar_size("x.n", "y.n", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     long = open_lists.where(F.col("m") > SHORT).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     long = long.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    long = long.join(sketches.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    long = long.join(wide_sketches(prints, long.select(F.col("id").alias("doc_id")).distinct()).select(F.col("doc_id").alias("id"), "sketch"), "id")
     keyed = long.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "sketch")
     blocked = keyed.groupBy("value", "i", "j").applyInPandas(lambda frame: _long_list_pairs(percent, frame), "a long, b long")
-    rest = stored(estimated(pairs.distinct(), sketches, percent).unionByName(blocked).distinct(), "candidates")
+    near_short = stored(estimated(pairs.distinct(), narrow, percent, K, SHARED), "estimated")
+    near_short = estimated(near_short, wide_sketches(prints, _ids(near_short)), percent, WIDE, WIDE_SHARED)
+    rest = stored(near_short.unionByName(blocked).distinct(), "candidates")
     second = verified(rest, docs, words, percent)
     return first.union(stored(second, "links"))
 
@@ -280,9 +303,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     prepare(docs.sparkSession)
     prints = stored(fingerprints(docs, words), "prints")
     usable = prints.where("n > 0 and doc_id is not null")
+    one = F.min(F.struct("doc_id", "n", "least"))
+    classes = usable.groupBy("set_id").agg(one.alias("one")).select("set_id", "one.*")
+    sketches = stored(classes.drop("set_id").dropDuplicates(["doc_id"]), "sketches")
     classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sketches = stored(usable.join(classes, ["set_id", "doc_id"], "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "sketches")
-    found = components(links(docs, sketches, words, percent))
+    found = components(links(docs, prints, sketches, words, percent))
     of_class = classes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_id", F.coalesce("component", "doc_id").alias("component_id"))
     of_class = stored(of_class, "classes")
     linked = usable.select("doc_id", "n", "set_id").join(of_class, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
