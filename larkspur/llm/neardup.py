@@ -5,8 +5,8 @@ hashes: ``K`` of them for candidates, ``WIDE`` for estimates. Inverted lists of
 of a pair's union estimates its Jaccard similarity, and full sets decide.
 
 Two documents of similarity 0.8 share, of the 32 least values of their union,
-26 in the mean with a deviation of 2.3, so fewer than ``SHARED`` = 12 about twice
-in 10^8 pairs. Hence each document may leave its ``SHARED`` - 1 most frequent
+26 in the mean with a deviation of 2.3, so fewer than ``SHARED`` = 12 about three
+times in 10^8 pairs. Hence each document may leave its ``SHARED`` - 1 most frequent
 values out of the lists (the pair's rarest common value is in neither's part),
 and with them the passages and lines that many documents share.
 """
