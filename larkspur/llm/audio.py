@@ -179,14 +179,29 @@ def probe(data: bytes) -> Stream:
     """Walk a stream. Any bytes are accepted; without a frame the duration is 0.
 
     Where no header stands, the probe goes on at the next header that another
-    one follows at its frame's end (or that ends the stream there).
+    one follows at its frame's end (or that ends the stream there). The last 128
+    bytes are an ID3v1 tag if they start as one, unless they belong to frames: a
+    frame is cut where the tag would begin, and with them the frames end where
+    the stream does.
     """
-    out = Stream()
-    at, end = _id3v2(data, out.tags), len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-            out.tags[f"v1:{key}"] = data[end + a : end + b].rstrip(b"\0 ").decode("latin-1")
+    tags: dict[str, str] = {}
+    start, end = _id3v2(data, tags), len(data)
+    if end < 128 or data[-128:-125] != b"TAG":
+        return _walk(data, start, end, tags)[0]
+    end -= 128
+    out, last = _walk(data, start, end, tags)
+    if last != end:
+        whole, last = _walk(data, start, len(data), tags)
+        if last == len(data):
+            return whole
+    for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
+        out.tags[f"v1:{key}"] = data[end + a : end + b].rstrip(b"\0 ").decode("latin-1")
+    return out
+
+
+def _walk(data: bytes, at: int, end: int, tags: dict[str, str]) -> tuple[Stream, int]:
+    """The frames from ``at`` to ``end``, and where the last one ends."""
+    out, last = Stream(tags), at
     sound: dict[bytes, bool] = {}
     synced, first = False, True
     while at + 4 <= end:
@@ -211,8 +226,9 @@ def probe(data: bytes) -> Stream:
             out.offsets.append(at)
             out.headers.append(h)
         first, at = False, after
+        last = after
     out.skipped += max(0, end - at)
-    return out
+    return out, last
 
 
 # Writing: MPEG 1 layer III, mono, 32 kHz, where every bit rate makes whole-byte

@@ -222,3 +222,19 @@ def test_audio_rows(spark):
     assert len(got) == len(ODD)
     empty = hashlib.sha256(bytes(64)).hexdigest()
     assert {r["payload_sha256"] for r in got if r["doc_id"] in (1, 2)} == {empty}
+
+
+def test_audio_payload_that_looks_like_a_tag():
+    """'TAG' at any byte near the end of a payload, so also 128 before the stream's end."""
+    met = 0
+    for n in (512, 64 * 1417):
+        for at in range(n - 160, n - 3):
+            payload = audio.padded(b"x" * at + b"TAG" + b"x" * (n - at - 3))
+            media = audio.write(payload)
+            met += media[-128:-125] == b"TAG"
+            assert audio.read_payload(media, audio.probe(media)) == payload
+    assert met == 2
+    tag = b"TAG" + b"a title".ljust(30, b"\0") + bytes(95)
+    for media in (audio.write(bytes(5000)), audio.write(bytes(5000))[:-40]):
+        stream, plain = audio.probe(media + tag), audio.probe(media)
+        assert stream.tags["v1:title"] == "a title" and stream.offsets == plain.offsets
