@@ -156,7 +156,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     """vec_id, n_links, component_id, kept: a row per row of ``vectors``.
 
     Links join rows of cosine >= ``cosine`` (computed in double precision).
-    Equal vectors are one class, joined once. Vectors that are null, empty, zero
+    Equal vectors are one class, joined once under a number of its own; ids only
+    name the components. Vectors that are null, empty, zero
     or hold null or non-finite components, and rows with a null id, link with
     nothing: n_links 0, component_id their own id. Rows that repeat an id are
     rows of their own; other columns are not read; an empty table gives an empty
@@ -165,12 +166,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), usable(vector, key).alias("ok"))
     good = rows.where("ok").select("vec_id", "v")
-    classes = stored(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("vec_id").alias("n")).select("id", "n", "v"), "classes")
-    found = stored(range_join(classes, cosine), "links")
+    classes = good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("vec_id").alias("n"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "least", "n", "v"), "classes")
+    found = stored(range_join(classes.select("id", "n", "v"), cosine), "links")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = classes.join(linked, "id", "left").join(joined, "id", "left")
-    out = out.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named = classes.select("id", "least").join(joined, "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    out = classes.join(linked, "id", "left").join(joined.join(named, "component").select("id", "component_id"), "id", "left")
+    out = out.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     every = good.join(out, "v").select("vec_id", "n_links", "component_id").unionByName(alone)
     return every.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

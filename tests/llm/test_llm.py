@@ -125,6 +125,12 @@ def test_vectors_match_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
 
 
+def test_vectors_that_share_an_id_are_apart(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 0.99, 0.1]), (3, [0.99, 0.1, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 0.9])]
+    got = sorted(tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
+
+
 def test_near_duplicates_match_brute_force(spark):
     rnd = random.Random(5)
     rows = []
