@@ -13,7 +13,9 @@ and with them the passages and lines that many documents share.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,9 @@ K, SHARED = 32, 12
 #: so pairs of such documents are decided exactly; beyond, a similarity of 0.8
 #: shares 154 of 192 with a deviation of 5.5.
 WIDE, WIDE_SHARED = 192, 120
+#: ``SHARED`` and ``WIDE_SHARED`` are made for this percent and hold above it;
+#: below it, pairs must share fewer (:func:`shared_at_least`).
+FITTED = 80
 #: Lists up to this long are joined with themselves; longer ones are compared
 #: block by block in numpy, with blocks of about ``BLOCK`` documents.
 SHORT, BLOCK = 32, 2048
@@ -89,6 +94,27 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<long>")
 
 
+def _binomial_below(k: int, n: int, p: float) -> float:
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+
+
+@cache
+def shared_at_least(width: int, percent: int) -> int:
+    """How many of the ``width`` least values of their union a pair must share.
+
+    ``SHARED`` or ``WIDE_SHARED`` from ``FITTED`` percent on; below, the most
+    that a pair of that similarity misses no more often than one of ``FITTED``.
+    """
+    at_fitted = {K: SHARED, WIDE: WIDE_SHARED}[width]
+    if percent >= FITTED:
+        return at_fitted
+    often = _binomial_below(at_fitted, width, FITTED / 100)
+    found = max(k for k in range(at_fitted + 1) if _binomial_below(k, width, percent / 100) <= often)
+    if not found:
+        raise ValueError(f"percent {percent} is too low for sketches of {width} hashes")
+    return found
+
+
 def _similar_size(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
@@ -97,7 +123,7 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
 
-def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, width: int, least_shared: int) -> DataFrame:
+def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) whose union sketches of ``width`` values allow a similarity of ``percent``.
 
     ``sketches`` holds doc_id, n and sketch, a row per document.
@@ -108,7 +134,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, width: int, l
     shared = F.array_intersect("sa", "sb")
     whole = F.size(shared) * 100 >= (F.col("na") + F.col("nb") - F.size(shared)) * percent
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, width)
-    part = F.size(F.array_intersect(union, shared)) * width >= F.size(union) * least_shared
+    part = F.size(F.array_intersect(union, shared)) * width >= F.size(union) * shared_at_least(width, percent)
     return both.where(F.when(F.greatest("na", "nb") <= width, whole).otherwise(part)).select("a", "b")
 
 
@@ -172,7 +198,7 @@ def _long_list_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
     first, second = i[sure], j[sure]
     some = _forest(first, second + (0 if same else len(left)), len(left) + len(right))
     i, j = i[~sure], j[~sure]
-    near = _union_sketch(_padded(left), _padded(right), i, j)
+    near = _union_sketch(_padded(left), _padded(right), i, j, shared_at_least(WIDE, percent))
     i, j = np.concatenate([first[some], i[near]]), np.concatenate([second[some], j[near]])
     return pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
 
@@ -211,7 +237,7 @@ def _overlapping(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple
         most = np.maximum(nl, nr)
         whole = (most <= WIDE) & (overlap * 100 >= (nl + nr - overlap) * percent)
         exact[top : top + _ROWS] = whole
-        good[top : top + _ROWS] = whole | (most > WIDE) & (overlap * WIDE >= np.float32(WIDE_SHARED) * np.minimum(nl + nr - overlap, WIDE)) & (np.minimum(nl, nr) * 100 >= most * percent)
+        good[top : top + _ROWS] = whole | (most > WIDE) & (overlap * WIDE >= np.float32(shared_at_least(WIDE, percent)) * np.minimum(nl + nr - overlap, WIDE)) & (np.minimum(nl, nr) * 100 >= most * percent)
     return good, exact
 
 
@@ -223,8 +249,8 @@ def _padded(side: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _union_sketch(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs (i, j) share ``WIDE_SHARED`` of ``WIDE`` least values of their union."""
+def _union_sketch(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, least_shared: int) -> np.ndarray:
+    """Which pairs (i, j) share ``least_shared`` of ``WIDE`` least values of their union."""
     near = np.zeros(len(i), dtype=bool)
     for start in range(0, len(i), 4096):
         at = slice(start, start + 4096)
@@ -233,7 +259,7 @@ def _union_sketch(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndar
         twice = (values[:, 1:] == values[:, :-1]) & real
         order = 1 + np.cumsum(real & ~twice, axis=1)  # of each value among the distinct ones
         shared = (twice & (order <= WIDE)).sum(axis=1)
-        near[at] = shared * WIDE >= np.minimum(order[:, -1], WIDE) * WIDE_SHARED
+        near[at] = shared * WIDE >= np.minimum(order[:, -1], WIDE) * least_shared
     return near
 
 
@@ -245,7 +271,7 @@ def candidate_lists(sketches: DataFrame, percent: int) -> DataFrame:
     lists = flat.groupBy("value").agg(F.count("id").alias("holders"), F.min(F.struct("id", "n")).alias("least")).where("holders > 1")
     lists = lists.select("value", "holders", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n"))
     shared = flat.join(lists, "value")
-    spare = F.least(F.floor((F.col("n") * percent + 99) / 100) - 1, F.lit(SHARED - 1))
+    spare = F.least(F.floor((F.col("n") * percent + 99) / 100) - 1, F.lit(shared_at_least(K, percent) - 1))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("holders"), "value"))
     return shared.withColumn("rank", rank).where(F.col("rank") > spare).select("value", "id", "n", "leader", "leader_n", "holders")
 
@@ -266,7 +292,7 @@ def links(docs: DataFrame, prints: DataFrame, sketches: DataFrame, words: int, p
     narrow = sketches.select("doc_id", "n", F.col("least").alias("sketch"))
     lists = stored(candidate_lists(sketches, percent), "lists")
     stars = lists.where("id <> leader").where(_similar_size("n", "leader_n", percent)).groupBy("id").agg(F.mode("leader", True).alias("b")).withColumnRenamed("id", "a")
-    first = stored(verified(stored(estimated(stars, narrow, percent, K, SHARED), "candidates"), docs, words, percent), "links")
+    first = stored(verified(stored(estimated(stars, narrow, percent, K), "candidates"), docs, words, percent), "links")
     found = components(first)
     members = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     members = stored(members, "members")
@@ -283,8 +309,8 @@ def links(docs: DataFrame, prints: DataFrame, sketches: DataFrame, words: int, p
     long = long.join(wide_sketches(prints, long.select(F.col("id").alias("doc_id")).distinct()).select(F.col("doc_id").alias("id"), "sketch"), "id")
     keyed = long.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "sketch")
     blocked = keyed.groupBy("value", "i", "j").applyInPandas(lambda frame: _long_list_pairs(percent, frame), "a long, b long")
-    near_short = stored(estimated(pairs.distinct(), narrow, percent, K, SHARED), "estimated")
-    near_short = estimated(near_short, wide_sketches(prints, _ids(near_short)), percent, WIDE, WIDE_SHARED)
+    near_short = stored(estimated(pairs.distinct(), narrow, percent, K), "estimated")
+    near_short = estimated(near_short, wide_sketches(prints, _ids(near_short)), percent, WIDE)
     rest = stored(near_short.unionByName(blocked).distinct(), "candidates")
     second = verified(rest, docs, words, percent)
     return first.union(stored(second, "links"))
@@ -298,7 +324,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     pair. A null text, or one without words, has 0 shingles and links with
     nothing; a null doc_id is a component of its own (component_id null, kept
     true); rows that repeat an id repeat its result; an empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. A ``percent`` too low for the
+    sketches (:func:`shared_at_least`) raises ValueError.
     """
     prepare(docs.sparkSession)
     prints = stored(fingerprints(docs, words), "prints")

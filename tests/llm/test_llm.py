@@ -154,6 +154,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(odd) == len(ODD) and all(r["kept"] for r in odd)
 
 
+@pytest.mark.parametrize("short", [1, 32])
+def test_lower_percents_miss_no_links_of_long_documents(spark, monkeypatch, short):
+    monkeypatch.setattr(neardup, "SHORT", short)
+    rows = []
+    for i in range(12):  # the first of three leads the lists of the others, but is no link (740 of 1260 words)
+        common = [f"w{i}x{j}" for j in range(750)]
+        own = [[f"v{i}x{k}x{j}" for j in range(260)] for k in range(3)]
+        rows += [(3 * i, " ".join(common[:740] + own[0]), "en", "a"), *((3 * i + k, " ".join(common + own[k][:250]), "en", "a") for k in (1, 2))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), words=1, percent=60).collect()}
+    assert got == {k: k - (k % 3 == 2) for k in range(36)}
+    assert (neardup.shared_at_least(neardup.K, 80), neardup.shared_at_least(neardup.WIDE, 95)) == (neardup.SHARED, neardup.WIDE_SHARED)
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(docs(spark, rows), percent=20)
+
+
 def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHORT", 1)
     monkeypatch.setattr(neardup, "BLOCK", 3)
