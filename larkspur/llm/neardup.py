@@ -71,18 +71,23 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(_mixed(out).view(np.int64))
 
 
+def mark_of() -> Column:
+    """Tells the texts of rows that repeat a doc_id apart."""
+    return F.xxhash64(text_of()).alias("mark")
+
+
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (shingles), set_id (128-bit digest of the set, null if empty), least
-    (the sketch for candidates) and sketch (the wider one)."""
+    """doc_id, mark (hash of the text), n (shingles), set_id (128-bit digest of the set,
+    null if empty), least (the sketch for candidates) and sketch (the wider one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             least, wide = (pa.array([s[:size] for s in sets], pa.list_(pa.int64())) for size in (K, WIDE))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), ids, least, wide], names=["doc_id", "n", "set_id", "least", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), ids, least, wide], names=["doc_id", "mark", "n", "set_id", "least", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n long, set_id binary, least array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, mark long, n long, set_id binary, least array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -120,16 +125,16 @@ def _similar_size(a: str, b: str, percent: int) -> Column:
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
 def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) whose union sketches of ``width`` values allow a similarity of ``percent``.
 
-    ``sketches`` holds doc_id, n and sketch, a row per document.
+    ``sketches`` holds id, n and sketch, a row per class.
     """
-    a = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    a = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").where(_similar_size("na", "nb", percent))
     shared = F.array_intersect("sa", "sb")
     whole = F.size(shared) * 100 >= (F.col("na") + F.col("nb") - F.size(shared)) * percent
@@ -138,20 +143,21 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, width: int) -
     return both.where(F.when(F.greatest("na", "nb") <= width, whole).otherwise(part)).select("a", "b")
 
 
-def wide_sketches(prints: DataFrame, ids: DataFrame) -> DataFrame:
-    """The wider sketches of the given documents only, a row per doc_id."""
-    return prints.select("doc_id", "n", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def wide_sketches(prints: DataFrame, members: DataFrame) -> DataFrame:
+    """id, n and the wider sketch of the given classes (id, doc_id, mark) only, a row per id."""
+    return prints.select("doc_id", "mark", "n", "sketch").join(members, ["doc_id", "mark"]).select("id", "n", "sketch").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of Jaccard similarity of at least ``percent`` on full sets.
 
-    Sets are made anew for the documents of the pairs only. The join on the
+    Sets are made anew for the documents of the pairs only, which ``named``
+    (id, doc_id, mark) finds. The join on the
     second member meets hot leaders; adaptive execution splits their pairs,
     while the leader's set is shuffled once.
     """
-    ids = _ids(pairs).withColumnRenamed("doc_id", "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    members = named.join(_ids(pairs), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), text_of().alias("text")).join(members, ["doc_id", "mark"]).dropDuplicates(["id"])
     sets = stored(full_sets(texts.select("id", "text"), words), "sets")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -267,7 +273,7 @@ def candidate_lists(sketches: DataFrame, percent: int) -> DataFrame:
     """value, id, n, leader, leader_n, holders: the inverted lists after each
     document has left out its most frequent values. Values of a single holder are
     in no list; leader is a list's least document, leader_n its number of shingles."""
-    flat = sketches.select(F.col("doc_id").alias("id"), "n", F.explode("least").alias("value"))
+    flat = sketches.select("id", "n", F.explode("least").alias("value"))
     lists = flat.groupBy("value").agg(F.count("id").alias("holders"), F.min(F.struct("id", "n")).alias("least")).where("holders > 1")
     lists = lists.select("value", "holders", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n"))
     shared = flat.join(lists, "value")
@@ -289,10 +295,11 @@ def links(docs: DataFrame, prints: DataFrame, sketches: DataFrame, words: int, p
     pairs; the wider ones travel only for documents that are left then, and for
     those of long lists.
     """
-    narrow = sketches.select("doc_id", "n", F.col("least").alias("sketch"))
+    narrow = sketches.select("id", "n", F.col("least").alias("sketch"))
+    named = sketches.select("id", "doc_id", "mark")
     lists = stored(candidate_lists(sketches, percent), "lists")
     stars = lists.where("id <> leader").where(_similar_size("n", "leader_n", percent)).groupBy("id").agg(F.mode("leader", True).alias("b")).withColumnRenamed("id", "a")
-    first = stored(verified(stored(estimated(stars, narrow, percent, K), "candidates"), docs, words, percent), "links")
+    first = stored(verified(stored(estimated(stars, narrow, percent, K), "candidates"), docs, named, words, percent), "links")
     found = components(first)
     members = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     members = stored(members, "members")
@@ -306,16 +313,36 @@ def links(docs: DataFrame, prints: DataFrame, sketches: DataFrame, words: int, p
     pairs = x.join(y, near & _similar_size("x.n", "y.n", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     long = open_lists.where(F.col("m") > SHORT).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     long = long.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    long = long.join(wide_sketches(prints, long.select(F.col("id").alias("doc_id")).distinct()).select(F.col("doc_id").alias("id"), "sketch"), "id")
+    long = long.join(wide_sketches(prints, named.join(long.select("id"), "id", "left_semi")).select("id", "sketch"), "id")
     keyed = long.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "sketch")
     blocked = keyed.groupBy("value", "i", "j").applyInPandas(lambda frame: _long_list_pairs(percent, frame), "a long, b long")
     near_short = stored(estimated(pairs.distinct(), narrow, percent, K), "estimated")
-    near_short = estimated(near_short, wide_sketches(prints, _ids(near_short)), percent, WIDE)
+    near_short = estimated(near_short, wide_sketches(prints, named.join(_ids(near_short), "id", "left_semi")), percent, WIDE)
     rest = stored(near_short.unionByName(blocked).distinct(), "candidates")
-    second = verified(rest, docs, words, percent)
+    second = verified(rest, docs, named, words, percent)
     return first.union(stored(second, "links"))
 
 
+def classified(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs`` and, a row per distinct set, set_id, first (whether the
+    class comes first in its component) and doc_id, mark and component_id, the least doc_id.
+
+    Each set has a number of its own, as a doc_id may repeat with other texts.
+    """
+    prints = stored(fingerprints(docs, words), "prints")
+    usable = prints.where("n > 0 and doc_id is not null")
+    one = F.min(F.struct("doc_id", "mark", "n", "least"))
+    classes = usable.groupBy("set_id").agg(one.alias("one")).select(F.monotonically_increasing_id().alias("id"), "set_id", "one.*")
+    classes = stored(classes, "sketches")
+    found = components(links(docs, prints, classes, words, percent))
+    slim = classes.select("id", "set_id", "doc_id", "mark")
+    least = F.min(F.struct("doc_id", "mark", "id")).alias("least")
+    roots = slim.join(found, "id").groupBy("component").agg(least)
+    of_class = slim.join(found.join(roots, "component").select("id", "least"), "id", "left")
+    of_class = of_class.select("set_id", "doc_id", "mark", F.coalesce("least.id", "id").eqNullSafe(F.col("id")).alias("first"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
+    return prints, stored(of_class, "classes")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of ``docs``.
 
@@ -323,31 +350,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     doc_id = component_id. Documents of equal sets are one class and need no
     pair. A null text, or one without words, has 0 shingles and links with
     nothing; a null doc_id is a component of its own (component_id null, kept
-    true); rows that repeat an id repeat its result; an empty table gives an
+    true); rows that repeat an id with another text are documents of their own
+    that share a name; an empty table gives an
     empty result; other columns are not read. A ``percent`` too low for the
     sketches (:func:`shared_at_least`) raises ValueError.
     """
     prepare(docs.sparkSession)
-    prints = stored(fingerprints(docs, words), "prints")
+    prints, classes = classified(docs, words, percent)
     usable = prints.where("n > 0 and doc_id is not null")
-    one = F.min(F.struct("doc_id", "n", "least"))
-    classes = usable.groupBy("set_id").agg(one.alias("one")).select("set_id", "one.*")
-    sketches = stored(classes.drop("set_id").dropDuplicates(["doc_id"]), "sketches")
-    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    found = components(links(docs, prints, sketches, words, percent))
-    of_class = classes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_id", F.coalesce("component", "doc_id").alias("component_id"))
-    of_class = stored(of_class, "classes")
-    linked = usable.select("doc_id", "n", "set_id").join(of_class, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = usable.select("doc_id", "n", "set_id").join(classes.select("set_id", "component_id"), "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = prints.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, one row per doc_id, all columns as they are.
+    """A row of ``docs`` for each group of near duplicates, that of least doc_id, all columns as they are.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Of rows that repeat a doc_id and its text one stays; with another text, that
+    copies nothing, both stay. Rows with a null doc_id all stay.
     """
-    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.where("doc_id is not null")
-    one = one.join(kept, one.doc_id.cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    prepare(docs.sparkSession)
+    prints, classes = classified(docs, words, percent)
+    alone = prints.where("n = 0 and doc_id is not null").select("doc_id", "mark")
+    kept = classes.where("first").select("doc_id", "mark").union(alone).select(F.col("doc_id").alias("__kept"), F.col("mark").alias("__kept_mark")).distinct()
+    one = docs.where("doc_id is not null").withColumn("__mark", mark_of())
+    one = one.join(kept, (one.doc_id.cast("long") == F.col("__kept")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi").dropDuplicates(["doc_id", "__mark"])
+    return one.drop("__mark").unionByName(docs.where("doc_id is null"))

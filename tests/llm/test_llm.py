@@ -169,6 +169,18 @@ def test_lower_percents_miss_no_links_of_long_documents(spark, monkeypatch, shor
         neardup.near_duplicates(docs(spark, rows), percent=20)
 
 
+def test_texts_that_share_an_id_are_apart(spark):
+    rnd = random.Random(3)
+    a, b, c = (words_of(rnd, 300) for _ in range(3))
+    near = {t: t + " and more" for t in (a, b)}
+    texts = [(1, a), (1, b), (1, b), (2, near[a]), (3, near[b]), (4, c), (4, c + " end"), (5, ""), (5, c), (None, a)]
+    given = docs(spark, [(k, t, "en", "a") for k, t in texts])
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.near_duplicates(given).collect())
+    assert got == [(0, 0, True), *[(1, 1, True)] * 3, (2, 1, False), (3, 1, False), *[(4, 4, True)] * 2, (5, 4, False), (5, 5, True)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.drop_duplicates(given).collect())
+    assert [x for x in kept if x[0] != 4] == sorted([(0, a), (1, a), (1, b), (5, "")]) and [x[0] for x in kept].count(4) == 1
+
+
 def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHORT", 1)
     monkeypatch.setattr(neardup, "BLOCK", 3)
