@@ -79,20 +79,34 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share
     a source of its own, the last; a null doc_id is ordered as an empty one; an
     empty table gives an empty result; a source without words has target 0.
     """
+    sized = stored(_sized(docs), "sizes")
+    out = _taken(sized, sized, ["doc_id"], ["size"], weights, slopes, share, repeats)
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def _sized(docs: DataFrame, *extra: Column, text: str = "text") -> DataFrame:
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), hashed.alias("h"))
-    sized = stored(sized.withColumn("part", F.substring("h", 1, PART_DIGITS)), "sizes")
-    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, share, repeats)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text).alias("size"), hashed.alias("h"), *extra)
+    return sized.withColumn("part", F.substring("h", 1, PART_DIGITS))
+
+
+def _taken(sized: DataFrame, measured: DataFrame, columns: list, last: list, weights: tuple, slopes: tuple, share: float, repeats: int) -> DataFrame:
+    """``columns`` of ``sized``, size, source_size, target, taken, position, again; unsorted.
+
+    Sizes of parts and sources are summed over ``measured``; ``last`` orders rows
+    of one doc_id.
+    """
+    parts = measured.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    goals = targets(measured.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, share, repeats)
     ahead = F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("part_size")
     starts = parts.select("source", "part", ahead.alias("start")).alias("p")
     starts = starts.join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "part", "start", "source_size", "slope", "target")
-    order = W.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("source", "part").orderBy("h", "doc_id", *last).rowsBetween(W.unboundedPreceding, 0)
     run = sized.withColumn("inside", F.sum("size").over(order) - F.col("size"))
     both = run.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.part") == F.col("s.part")))
     at = F.col("start") + F.col("inside")
     quota = F.floor(F.col("target") + 0.5).cast("long")
-    rows = both.select("doc_id", "size", "source_size", "target", "slope", at.alias("at"), quota.alias("quota"))
+    rows = both.select(*columns, "size", "source_size", "target", "slope", at.alias("at"), quota.alias("quota"))
 
     def of_pass(k: int) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("source_size") * k - F.col("at"))).cast("long")
@@ -102,25 +116,26 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share
         return F.when(of_pass(k) > 0, F.round(F.abs(time_of(share_met, F.col("slope"))), 9))
 
     taken = sum((of_pass(k) for k in range(1, repeats)), of_pass(0))
-    out = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position(0).alias("position"), position(1).alias("again"))
-    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return rows.select(*columns, "size", "source_size", "target", taken.alias("taken"), position(0).alias("position"), position(1).alias("again"))
 
 
-def apply(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+def apply(docs: DataFrame, text: str = "text", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """The mixed rows of ``docs``, with all their columns, in training order.
 
     A document stands once for each pass that takes it; the pass that the target
     cuts keeps the words taken, joined by blanks. Rows that the mix takes no word
-    of are left out; of rows that share a doc_id and size, each is mixed alike.
+    of are left out; rows that share a doc_id are mixed each on its own.
     """
-    plan = mix(docs, **settings).select(F.col("doc_id").alias("__doc"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("position").alias("__first"), F.col("again").alias("__again"))
-    plan = plan.where("__taken > 0").dropDuplicates(["__doc", "__size"])
-    keyed = docs.withColumn("__words", words(text))
-    joined = keyed.join(plan, keyed.doc_id.cast("long").eqNullSafe(F.col("__doc")) & (keyed["__words"] == F.col("__size")))
-    passes = F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("int"))
-    spread = joined.withColumn("__pass", F.explode(passes))
-    kept = F.least(F.col("__size"), F.col("__taken") - F.col("__pass") * F.col("__size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})")), F.lit(1), kept.cast("int")), " ")
-    whole = spread.withColumn("__at", F.when(F.col("__pass") == 0, F.coalesce("__first", "__again")).otherwise(F.coalesce("__again", "__first")))
-    whole = whole.withColumn(text, F.when(kept < F.col("__size"), cut).otherwise(F.col(text)))
-    return whole.orderBy("__at", "__doc").select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    sized = _sized(docs, row, F.xxhash64(text).alias("mark"), text=text)
+    measured = stored(sized.select("source", "part", "size"), "sizes")
+    plan = _taken(sized, measured, ["doc_id", "row"], ["size", "mark"], weights, slopes, share, repeats).where("taken > 0")
+    passes = F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))
+    spread = plan.withColumn("pass", F.explode(passes))
+    kept = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    at = F.when(F.col("pass") == 0, F.coalesce("position", "again")).otherwise(F.coalesce("again", "position"))
+    ordered = spread.select("doc_id", at.alias("at"), "size", kept.alias("kept"), "row").orderBy("at", "doc_id")
+    whole = F.col(f"row.`{text}`")
+    cut = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"({WORD})")), F.lit(1), F.col("kept").cast("int")), " ")
+    mixed = F.when(F.col("kept") < F.col("size"), cut).otherwise(whole).alias(text)
+    return ordered.select(*(mixed if c == text else F.col(f"row.`{c}`") for c in docs.columns))

@@ -210,6 +210,18 @@ def test_mix_meets_targets(spark):
     assert sum(len(r["text"].split()) for r in mixed.collect()) == sum(r["taken"] for r in got)
 
 
+def test_mixed_rows_without_an_id_are_taken_as_planned(spark):
+    rows = [(None, f"{s} {i} c d", "en", s) for i in range(40) for s in ("a", "b", "c")] + [(7, "a x y z", "en", "a"), (7, "b x y z", "en", "b")]
+    planned = {}
+    for r in mixing.mix(docs(spark, rows)).collect():
+        planned[r["target"], r["source_size"]] = planned.get((r["target"], r["source_size"]), 0) + r["taken"]
+    mixed = {}
+    for r in mixing.apply(docs(spark, rows)).collect():
+        assert r["text"][0] == r["source"]
+        mixed[r["source"]] = mixed.get(r["source"], 0) + len(r["text"].split())
+    assert sorted(mixed.values()) == sorted(planned.values())
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     records = [warc.ArcRecord("http://a/ b\n", "1.2.3.4", "20010203", "text/html", "200", "-", b) for b in (b"", b"\n\nx\r\n\r\n", b"HTTP/1.1 200 OK\r\n\r\nhi")]
