@@ -19,3 +19,12 @@ def test_stages_keep_columns_and_drop_what_they_reject(spark):
     want = {r["component_id"] for r in neardup.near_duplicates(good).collect()}
     assert {r["doc_id"] for r in once.collect()} == want
     assert corpus_pipeline.pack(spark, corpus_pipeline.mix_sources(spark, once, SF), SF).count() > 0
+
+
+def test_language_rejects_what_resembles_no_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = ["αβγδε ζηθικ λμνξο πρστυ " * 20, "qzx vkjq xwz jjkq zzxv wqkx " * 20, "日本語のテキスト" * 20]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    given = docs.unionByName(rows, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, given, SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
