@@ -1,7 +1,9 @@
 """The stages of the corpus pipeline on a small input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from larkspur.llm import neardup
+from larkspur.llm import neardup, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +30,16 @@ def test_language_rejects_what_resembles_no_language(spark):
     given = docs.unionByName(rows, allowMissingColumns=True)
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, given, SF).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_quality_threshold_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    half = F.pmod(F.xxhash64(F.lit("split"), "doc_id"), F.lit(2))
+    passed, lost, held = 0, 0, {0: 0, 1: 0}
+    for k in (0, 1):
+        model = quality.train(docs, labels.where(half == k))
+        for r in docs.join(labels.where(half != k), "doc_id").select("quality", quality.score_column(model)().alias("score")).collect():
+            held[r["quality"]] += 1
+            passed += r["quality"] == 0 and r["score"] >= corpus_pipeline.REJECT_BELOW
+            lost += r["quality"] == 1 and r["score"] < corpus_pipeline.REJECT_BELOW
+    assert passed <= 0.01 * held[0] and lost <= 0.01 * held[1]
