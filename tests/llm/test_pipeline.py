@@ -1,9 +1,16 @@
 """The stages of the corpus pipeline on a small input."""
 
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import neardup, quality
+from larkspur.llm import encoding, langid, neardup, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +50,64 @@ def test_quality_threshold_on_held_out_labels(spark):
             passed += r["quality"] == 0 and r["score"] >= corpus_pipeline.REJECT_BELOW
             lost += r["quality"] == 1 and r["score"] < corpus_pipeline.REJECT_BELOW
     assert passed <= 0.01 * held[0] and lost <= 0.01 * held[1]
+
+
+def plain_mix(rows):
+    """(doc_id, text) taken of (doc_id, text, source), in plain Python."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}
+    by_need = sorted(sizes, key=lambda s: (2 * sizes[s] / weight[s], s))
+    total = 1.5 * sum(sizes.values())
+    level = max((total - sum(2 * sizes[s] for s in by_need[:i])) / sum(weight[s] for s in by_need[i:]) for i in range(len(by_need)))
+    out = []
+    for s in sizes:
+        left = int(min(weight[s] * level, 2 * sizes[s]) + 0.5)
+        mine = sorted((hashlib.md5(str(k).encode()).hexdigest(), k, t) for k, t, x in rows if x == s)
+        for _, k, t in mine * 2:
+            words = t.split()
+            take = min(left, len(words))
+            left -= take
+            out += [(k, t if take == len(words) else " ".join(words[:take]))] if take else []
+    return out
+
+
+def test_run_matches_plain_python(spark, tmp_path):
+    rnd = random.Random(4)
+    vocabulary = {"en": ["the", "and", "house", "with", "thing", "water", "light", "stone"], "de": ["der", "und", "haus", "mit", "nicht", "wasser", "licht", "stein"]}
+    rows = []
+    for i in range(40):
+        lang = ("en", "de")[i % 2]
+        base = [rnd.choice(vocabulary[lang]) + rnd.choice(vocabulary[lang]) for _ in range(rnd.choice([30, 300, 700]))]
+        near = list(base)
+        for _ in range(len(base) // (100 if i % 4 else 25)):  # some near copies, some too far
+            near[rnd.randrange(len(near))] = "x"
+        rows += [(2 * i, " ".join(base), lang, "abc"[i % 3]), (2 * i + 1, " ".join(near), lang, "abc"[(i + 1) % 3])]
+    rows += [(200 + i, f"{i} {i + 1} !!", "en", "a") for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 200)) for k, *_ in rows], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "labels"))
+    profiles = langid.train(docs)
+    said = {k: profiles.predict(t) for k, t, *_ in rows}
+    floor = 0.5 * np.quantile([score for lang, score in said.values() if lang != "und"], 0.01)
+    left = [r for r in rows if said[r[0]][0] != "und" and said[r[0]][1] >= floor]
+    model = quality.train(docs.where(F.col("doc_id").isin([r[0] for r in left])), labels)
+    left = [r for r in left if model.score(np.array([quality.statistics(r[1])]))[0] >= 0.3]
+    sets = {k: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for k, t, *_ in left for w in [t.split()]}
+    label = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    once = [(k, t, source) for k, t, _, source in left if label[k] == k]
+    assert 40 < len(once) < 80 == len(left)
+    library = encoding.load(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for k, text in plain_mix(once):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        want.update((k, at, len(ids[at : at + 1024]), zlib.crc32(ids[at : at + 1024].tobytes())) for at in range(0, len(ids), 1024))
+    assert got == want
