@@ -90,6 +90,10 @@ def _sized(docs: DataFrame, *extra: Column, text: str = "text") -> DataFrame:
     return sized.withColumn("part", F.substring("h", 1, PART_DIGITS))
 
 
+def _source_keys(source: str) -> list[Column]:
+    return [F.coalesce(F.col(source), F.lit("")).alias("k0"), F.col(source).isNull().alias("k1")]
+
+
 def _taken(sized: DataFrame, measured: DataFrame, columns: list, last: list, weights: tuple, slopes: tuple, share: float, repeats: int) -> DataFrame:
     """``columns`` of ``sized``, size, source_size, target, taken, position, again; unsorted.
 
@@ -100,10 +104,12 @@ def _taken(sized: DataFrame, measured: DataFrame, columns: list, last: list, wei
     goals = targets(measured.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, share, repeats)
     ahead = F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("part_size")
     starts = parts.select("source", "part", ahead.alias("start")).alias("p")
-    starts = starts.join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "part", "start", "source_size", "slope", "target")
-    order = W.partitionBy("source", "part").orderBy("h", "doc_id", *last).rowsBetween(W.unboundedPreceding, 0)
-    run = sized.withColumn("inside", F.sum("size").over(order) - F.col("size"))
-    both = run.alias("r").join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.part") == F.col("s.part")))
+    keys = _source_keys("p.source")  # without nulls, so that the rows are dealt once for window and join
+    starts = starts.join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(*keys, "part", "start", "source_size", "slope", "target")
+    order = W.partitionBy("k0", "k1", "part").orderBy("h", "doc_id", *last).rowsBetween(W.unboundedPreceding, 0)
+    keyed = sized.select("*", *_source_keys("source"))
+    run = keyed.withColumn("inside", F.sum("size").over(order) - F.col("size"))
+    both = run.alias("r").join(starts.alias("s"), (F.col("r.k0") == F.col("s.k0")) & (F.col("r.k1") == F.col("s.k1")) & (F.col("r.part") == F.col("s.part")))
     at = F.col("start") + F.col("inside")
     quota = F.floor(F.col("target") + 0.5).cast("long")
     rows = both.select(*columns, "size", "source_size", "target", "slope", at.alias("at"), quota.alias("quota"))
