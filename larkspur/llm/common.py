@@ -39,10 +39,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made.
+    Only where it is unset and all run on one machine (tests) a temporary folder
+    is made; on a cluster that would lose rows, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -58,10 +61,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage in a form that outlives any executor, and computes the
     input once where ``checkpoint()`` would compute it twice.
     """
+    return _stored(df, name)[0]
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def text_of(name: str = "text") -> Column:
@@ -91,7 +98,47 @@ def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+class Steps:
+    """Tables written on the way to a result, and deleted when nothing needs them.
+
+    As a context manager it deletes at the end what was not kept. Whoever reads
+    a table must keep it, or write what was read, before it goes.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.delete(*(df for df, _ in list(self.held.values())))
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _stored(df, name)
+        self.held[id(out)] = out, path
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave a table in the shared folder, for a result that reads it later."""
+        self.held.pop(id(df), None)
+        return df
+
+    def delete(self, *frames: DataFrame) -> None:
+        for df in frames:
+            _, path = self.held.pop(id(df), (df, ""))
+            if path:
+                delete_path(self.spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", steps: Steps | None = None) -> DataFrame:
     """Connected components of an undirected graph of long ids.
 
     Returns (id, component) for each id in an edge, component being the
@@ -99,22 +146,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     next to it, follows pointers twice and contracts the edges; at least half
     of the labels vanish in a round, so rounds grow with the logarithm of the
     graph. No edge or label reaches the driver: it only asks whether edges are
-    left. Joins on a hot label are left to adaptive skew splitting.
+    left. Joins on a hot label are left to adaptive skew splitting. What a round
+    supersedes is deleted; the result is a table of ``steps``.
     """
+    steps = steps or Steps(edges.sparkSession)
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    left = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    left = steps.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     nodes = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     labels = nodes.select("id", F.col("id").alias("component"))
     while not left.isEmpty():
         either = left.union(left.select("b", "a"))
         up = either.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b"))
-        up = stored(up, "pointers")
+        near = far = steps.write(up, "pointers")
         for _ in range(2):
-            up = up.alias("x").join(up.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", F.col("y.b").alias("b"))
-        up = stored(up, "pointers")
-        labels = labels.join(up, labels.component == up.a, "left").select("id", F.coalesce("b", "component").alias("component"))
-        labels = stored(labels, "labels")
-        p, q = up.select(F.col("a").alias("pa"), F.col("b").alias("pb")), up.select(F.col("a").alias("qa"), F.col("b").alias("qb"))
+            far = far.alias("x").join(far.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", F.col("y.b").alias("b"))
+        far = steps.write(far, "pointers")
+        steps.delete(near)
+        before = labels
+        labels = labels.join(far, labels.component == far.a, "left").select("id", F.coalesce("b", "component").alias("component"))
+        labels = steps.write(labels, "labels")
+        p, q = far.select(F.col("a").alias("pa"), F.col("b").alias("pb")), far.select(F.col("a").alias("qa"), F.col("b").alias("qb"))
         moved = left.join(p, left.a == p.pa).join(q, left.b == q.qa).select(F.least("pb", "qb").alias("a"), F.greatest("pb", "qb").alias("b"))
-        left = stored(moved.where("a <> b").distinct(), "edges")
+        after = steps.write(moved.where("a <> b").distinct(), "edges")
+        steps.delete(before, far, left)
+        left = after
     return labels

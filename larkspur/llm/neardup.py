@@ -1,7 +1,7 @@
 """Near-duplicate documents by bottom-k sketches of word shingles.
 
-One hash function maps shingles to 64 bits; a document's sketch is its least
-hashes: ``K`` of them for candidates, ``WIDE`` for estimates. Inverted lists of the sketch values yield candidates, the sketch
+One hash function maps shingles to 64 bits; a document's sketch is its ``K``
+least hashes. Inverted lists of the sketch values yield candidates, the sketch
 of a pair's union estimates its Jaccard similarity, and full sets decide.
 
 Two documents of similarity 0.8 share, of the 32 least values of their union,
@@ -9,6 +9,11 @@ Two documents of similarity 0.8 share, of the 32 least values of their union,
 times in 10^8 pairs. Hence each document may leave its ``SHARED`` - 1 most frequent
 values out of the lists (the pair's rarest common value is in neither's part),
 and with them the passages and lines that many documents share.
+
+Pairs never leave a task. What the estimate lets through joins documents to
+families, given out as a spanning forest: no more rows than documents. Then the
+full sets of a family meet, once, in blocks of bounded bytes, where they are
+compared exactly, and again only a forest of the links goes out.
 """
 
 from __future__ import annotations
@@ -18,32 +23,38 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, prepare, stored, text_of
+from larkspur.llm.common import Steps, components, prepare, text_of
 
 WORDS, PERCENT = 5, 80
 K, SHARED = 32, 12
-#: Hashes of the wider sketch that estimates pairs, and how many of them a pair
-#: must share. The set of a document of at most ``WIDE`` shingles is its sketch,
-#: so pairs of such documents are decided exactly; beyond, a similarity of 0.8
-#: shares 154 of 192 with a deviation of 5.5.
-WIDE, WIDE_SHARED = 192, 120
-#: ``SHARED`` and ``WIDE_SHARED`` are made for this percent and hold above it;
-#: below it, pairs must share fewer (:func:`shared_at_least`).
+#: ``SHARED`` is made for this percent and holds above it; below it, pairs must
+#: share fewer (:func:`shared_at_least`).
 FITTED = 80
-#: Lists up to this long are joined with themselves; longer ones are compared
-#: block by block in numpy, with blocks of about ``BLOCK`` documents.
-SHORT, BLOCK = 32, 2048
-#: Rows of a block compared at once.
-_ROWS = 512
+#: Documents of a list that are compared by their sketches. A longer list makes
+#: all its documents one family, unseen: that only gives the exact step more to do.
+LIST = 2048
+#: Pairs of lists up to this long are tested together; in longer ones some
+#: members lead first.
+SHORT = 32
+#: Bytes of full sets and documents that are compared in one task; larger
+#: families are split into blocks.
+BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 4096
+#: Documents of a family, or of a list, that are held against all others first.
+LEADERS = 8
+#: Bits of the filter that spares texts a shuffle: a broadcast of at most
+#: ``SLOTS`` / 64 rows whatever the input.
+SLOTS = 1 << 26
+#: Pairs tested at once.
+_PAIRS = 1 << 14
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
+_NONE = np.iinfo(np.int64).max
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -76,27 +87,23 @@ def mark_of() -> Column:
     return F.xxhash64(text_of()).alias("mark")
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+
+
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, mark (hash of the text), n (shingles), set_id (128-bit digest of the set,
-    null if empty), least (the sketch for candidates) and sketch (the wider one)."""
+    null if empty) and least (the sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
             ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            least, wide = (pa.array([s[:size] for s in sets], pa.list_(pa.int64())) for size in (K, WIDE))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), ids, least, wide], names=["doc_id", "mark", "n", "set_id", "least", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, mark long, n long, set_id binary, least array<long>, sketch array<long>")
-
-
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingles(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "set"])
+            least = _lists([s[:K] for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), ids, least], names=["doc_id", "mark", "n", "set_id", "least"])
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), text_of().alias("text")).mapInArrow(run, "doc_id long, mark long, n long, set_id binary, least array<long>")
 
 
 def _binomial_below(k: int, n: int, p: float) -> float:
@@ -104,223 +111,361 @@ def _binomial_below(k: int, n: int, p: float) -> float:
 
 
 @cache
-def shared_at_least(width: int, percent: int) -> int:
-    """How many of the ``width`` least values of their union a pair must share.
+def shared_at_least(percent: int) -> int:
+    """How many of the ``K`` least values of their union a pair must share.
 
-    ``SHARED`` or ``WIDE_SHARED`` from ``FITTED`` percent on; below, the most
-    that a pair of that similarity misses no more often than one of ``FITTED``.
+    ``SHARED`` from ``FITTED`` percent on; below, the most that a pair of that
+    similarity misses no more often than one of ``FITTED``.
     """
-    at_fitted = {K: SHARED, WIDE: WIDE_SHARED}[width]
     if percent >= FITTED:
-        return at_fitted
-    often = _binomial_below(at_fitted, width, FITTED / 100)
-    found = max(k for k in range(at_fitted + 1) if _binomial_below(k, width, percent / 100) <= often)
+        return SHARED
+    often = _binomial_below(SHARED, K, FITTED / 100)
+    found = max(k for k in range(SHARED + 1) if _binomial_below(k, K, percent / 100) <= often)
     if not found:
-        raise ValueError(f"percent {percent} is too low for sketches of {width} hashes")
+        raise ValueError(f"percent {percent} is too low for sketches of {K} hashes")
     return found
 
 
-def _similar_size(a: str, b: str, percent: int) -> Column:
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
+# Inside a task: runs of equal keys, links as a forest.
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal leading ``keys`` columns, and where each run starts, and the end.
 
+    Rows come sorted by the keys; a run that the batch's end may cut waits for the next batch.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for k in range(keys):
+            column = table.column(k).to_numpy()
+            new |= column[1:] != column[:-1]
+        return np.concatenate([[0], np.nonzero(new)[0] + 1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = held and all(held[-1].column(k)[held[-1].num_rows - 1] == batch.column(k)[batch.num_rows - 1] for k in range(keys))
+        held.append(batch)
+        if same:
+            continue
+        table = pa.Table.from_batches(held)
+        starts = cut(table)
+        last = int(starts[-1])
+        if last:
+            yield table.slice(0, last).combine_chunks(), starts
+        held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.append(cut(table), table.num_rows)
+
+
+class Forest:
+    """A growing partition of numbers into trees."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top:
+            parent[x] = top
+            x = up
+        return top
+
+    def roots(self, xs: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.root, xs.tolist()), dtype=np.int64, count=len(xs))
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """The pairs that joined two trees."""
+        out = []
+        for pair in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self.root(pair[0]), self.root(pair[1])
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                out.append(pair)
+        return out
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    table = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["a", "b"])
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists end to end, and where each list starts, and the end."""
+    array = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = array.offsets.to_numpy()
+    return array.flatten().to_numpy(), offsets - offsets[0]
+
+
+def _sketch_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Sketches as rows of ``K`` values, short ones filled with the largest."""
+    values, starts = _flat(column)
+    n = np.diff(starts)
+    out = np.full((len(n), K), _NONE)
+    out[np.arange(K)[None, :] < n[:, None]] = values
+    return out
 
-def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) whose union sketches of ``width`` values allow a similarity of ``percent``.
 
-    ``sketches`` holds id, n and sketch, a row per class.
+def _estimated(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (i, j) share enough of the ``K`` least values of their union, and are of sizes that allow a link."""
+    good = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+    least = shared_at_least(percent)
+    at = np.nonzero(good)[0]
+    for some in np.split(at, range(_PAIRS, len(at), _PAIRS)):
+        values = np.sort(np.concatenate([sketch[i[some]], sketch[j[some]]], axis=1), axis=1)
+        real = values[:, 1:] != _NONE
+        twice = (values[:, 1:] == values[:, :-1]) & real
+        order = 1 + np.cumsum(real & ~twice, axis=1, dtype=np.int16)  # of each value among the distinct ones
+        shared = (twice & (order <= K)).sum(axis=1)
+        good[some] = shared * K >= np.minimum(order[:, -1], K) * least
+    return good
+
+
+def _candidates(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs that share a list and pass the estimate.
+
+    Rows (value, id, n, least) come sorted by value. Trees are kept for the whole
+    partition, so pairs that are joined already are not tested.
+    """
+    trees = Forest()
+    for table, starts in whole_runs(batches, 1):
+        ids, n, sketch = table.column(1).to_numpy(), table.column(2).to_numpy(), _sketch_rows(table.column(3))
+        found: list[tuple[int, int]] = []
+
+        def tested(i: np.ndarray, j: np.ndarray) -> None:
+            roots = trees.roots(ids)
+            for part in range(0, len(i), _PAIRS):
+                x, y = i[part : part + _PAIRS], j[part : part + _PAIRS]
+                if part:
+                    roots = trees.roots(ids)
+                apart = roots[x] != roots[y]
+                x, y = x[apart], y[apart]
+                good = _estimated(sketch, n, x, y, percent)
+                found.extend(trees.link(ids[x[good]], ids[y[good]]))
+
+        m = np.diff(starts)
+        first = np.repeat(starts[:-1], m - 1)
+        others = np.delete(np.arange(table.num_rows), starts[:-1])
+        tested(first, others)
+        short = [np.zeros((2, 0), np.int64)]
+        for size in np.unique(m[(m > 2) & (m <= SHORT)]):
+            i, j = np.triu_indices(size - 1, 1)
+            of = starts[:-1][m == size][:, None] + 1
+            short.append(np.stack([(of + i).ravel(), (of + j).ravel()]))
+        tested(*np.concatenate(short, axis=1))
+        for at, size in zip(starts[:-1][m > SHORT].tolist(), m[m > SHORT].tolist(), strict=True):
+            mine = np.arange(at, at + size)
+            for lead in range(at + 1, at + LEADERS):
+                tested(np.full(size - 1, lead), np.delete(mine, lead - at))
+            _, tree, members = np.unique(trees.roots(ids[mine]), return_inverse=True, return_counts=True)
+            for row in mine[tree != members.argmax()]:
+                tested(np.full(size - 1, row), np.delete(mine, row - at))
+        yield _edges(found)
+
+
+def _links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs of a block whose full sets are similar.
+
+    Rows (family, i, j, side, id, component, set) come sorted by family, i, j, the
+    block; pairs of one component are joined already. If a block has two sides,
+    only pairs across them are compared.
     """
-    a = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").where(_similar_size("na", "nb", percent))
-    shared = F.array_intersect("sa", "sb")
-    whole = F.size(shared) * 100 >= (F.col("na") + F.col("nb") - F.size(shared)) * percent
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, width)
-    part = F.size(F.array_intersect(union, shared)) * width >= F.size(union) * shared_at_least(width, percent)
-    return both.where(F.when(F.greatest("na", "nb") <= width, whole).otherwise(part)).select("a", "b")
+    for table, starts in whole_runs(batches, 3):
+        side, ids, component = (table.column(k).to_numpy() for k in (3, 4, 5))
+        values, at = _flat(table.column(6))
+        found: list[tuple[int, int]] = []
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if e - s > 1:
+                found += _block_links(ids[s:e], component[s:e], side[s:e], values[at[s] : at[e]], at[s : e + 1] - at[s], percent)
+        yield _edges(found)
+
+
+def _block_links(ids: np.ndarray, component: np.ndarray, side: np.ndarray, values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    m, n = len(ids), np.diff(at)
+    trees = Forest()
+    trees.parent = dict(zip(ids.tolist(), component.tolist(), strict=True))
+    two = side.any() and not side.all()
+    if m == 2:
+        a, b = values[: at[1]], values[at[1] :]
+        same = component[0] == component[1] or min(n) * 100 < max(n) * percent
+        common = 0 if same else np.intersect1d(a, b, assume_unique=True).size
+        return trees.link(ids[:1], ids[1:]) if common and common * 100 >= percent * (n.sum() - common) else []
+
+    owner = np.repeat(np.arange(m), n)
+    order = np.argsort(values, kind="stable")
+    held = values[order]
+    new = np.concatenate([[True], held[1:] != held[:-1]])
+    opens = np.nonzero(new)[0]  # where the holders of a value start
+    holders = np.diff(np.append(opens, len(held)))
+    which = np.empty(len(values), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    by_value = owner[order]
+
+    def overlaps(row: int) -> np.ndarray:
+        """How many values each document shares with that of the row."""
+        mine = which[at[row] : at[row + 1]]
+        mine = mine[holders[mine] > 1]
+        count = holders[mine]
+        where = np.repeat(opens[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(by_value[where], minlength=m)
+
+    found: list[tuple[int, int]] = []
+
+    def held_against_all(row: int) -> None:
+        common = overlaps(row)
+        good = (common > 0) & (common * 100 >= percent * (n[row] + n - common))
+        if two:
+            good &= side != side[row]
+        good[row] = False
+        near = np.nonzero(good)[0]
+        found.extend(trees.link(np.repeat(ids[row : row + 1], len(near)), ids[near]))
+
+    popular = np.argsort(-np.bincount(owner, weights=holders[which], minlength=m) / np.maximum(n, 1), kind="stable")
+    asked = set()
+    for _ in range(LEADERS):
+        roots = trees.roots(ids)
+        names, tree, members = np.unique(roots, return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            return found
+        row = next((int(r) for r in popular if r not in asked and (not asked or tree[r] != members.argmax())), None)
+        if row is None:
+            break
+        asked.add(row)
+        held_against_all(row)
+    _, tree, members = np.unique(trees.roots(ids), return_inverse=True, return_counts=True)
+    if len(members) > 1:
+        for row in np.nonzero(side == 0 if two else tree != members.argmax())[0].tolist():
+            if row not in asked:
+                held_against_all(row)
+    return found
 
 
-def wide_sketches(prints: DataFrame, members: DataFrame) -> DataFrame:
-    """id, n and the wider sketch of the given classes (id, doc_id, mark) only, a row per id."""
-    return prints.select("doc_id", "mark", "n", "sketch").join(members, ["doc_id", "mark"]).select("id", "n", "sketch").dropDuplicates(["id"])
+# The plan.
 
 
-def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of Jaccard similarity of at least ``percent`` on full sets.
+def inverted(classes: DataFrame, percent: int) -> DataFrame:
+    """id, doc_id, mark, n, least, weight (of how many lists' members in all) and kept, the
+    values under which a class stands in the inverted lists.
 
-    Sets are made anew for the documents of the pairs only, which ``named``
-    (id, doc_id, mark) finds. The join on the
-    second member meets hot leaders; adaptive execution splits their pairs,
-    while the leader's set is shuffled once.
+    Values of a single holder are in no list; of the others, each class leaves
+    out its most frequent ones.
     """
-    members = named.join(_ids(pairs), "id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), text_of().alias("text")).join(members, ["doc_id", "mark"]).dropDuplicates(["id"])
-    sets = stored(full_sets(texts.select("id", "text"), words), "sets")
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u"))
-    return both.where(F.col("c") * 100 >= F.col("u") * percent).select("a", "b")
-
-
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Indices of pairs that connect all that the pairs (i, j) of 0..n-1 connect."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    kept = []
-    for at, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(at)
-    return np.array(kept, dtype=np.int64)
-
-
-def _long_list_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair of a long list that the sketches let through.
-
-    Of pairs that the sketches decide exactly, a spanning forest is enough.
+    flat = classes.select("id", F.explode("least").alias("value"))
+    lists = flat.groupBy("value").agg(F.count("id").alias("holders")).where("holders > 1")
+    entry = F.struct((-F.col("holders")).alias("fewer"), "value").alias("entry")
+    shared = flat.join(lists, "value").select("id", entry).groupBy("id").agg(F.sort_array(F.collect_list("entry")).alias("entries"))  # K at most
+    spare = F.least(F.floor((F.col("n") * percent + 99) / 100) - 1, F.lit(shared_at_least(percent) - 1)).cast("int")
+    both = shared.join(classes, "id")
+    weight = -F.aggregate("entries.fewer", F.lit(0).cast("long"), lambda total, x: total + x)
+    kept = F.slice(F.col("entries.value"), spare + 1, F.lit(K))
+    return both.select("id", "doc_id", "mark", "n", "least", weight.alias("weight"), kept.alias("kept")).where(F.size("kept") > 0)
+
+
+def families(lists: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """id, component: the classes that candidate pairs connect."""
+    entries = lists.select("id", F.explode("kept").alias("value"))
+    long = steps.write(entries.groupBy("value").agg(F.count("id").alias("m"), F.min("id").alias("leader")).where(F.col("m") > LIST), "long")
+    rows = lists.select(F.explode("kept").alias("value"), "id", "n", "least").join(long.select("value"), "value", "left_anti")
+    dealt = rows.repartition("value").sortWithinPartitions("value")
+    near = dealt.mapInArrow(lambda batches: _candidates(percent, batches), "a long, b long")
+    whole = entries.join(long, "value").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    return components(near.union(whole), steps=steps)
+
+
+def _word_and_bit(*key: str) -> tuple[Column, Column]:
+    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS))
+    return F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
+
+
+def perhaps(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (with doc_id and mark) and maybe, false only where (doc_id, mark) is not among ``keys``.
+
+    A bitmap of ``SLOTS`` bits is broadcast, so its size does not grow with the
+    input; where it fills up, more rows are maybe.
     """
-    sides = [frame[frame["side"] == s] for s in (0, 1)]
-    same = not len(sides[1])
-    left, right = sides[0], sides[0] if same else sides[1]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    good, exact = _overlapping(left, right, percent)
-    good &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-    if same:
-        good &= left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]
-    i, j = np.nonzero(good)
-    sure = exact[i, j]
-    first, second = i[sure], j[sure]
-    some = _forest(first, second + (0 if same else len(left)), len(left) + len(right))
-    i, j = i[~sure], j[~sure]
-    near = _union_sketch(_padded(left), _padded(right), i, j, shared_at_least(WIDE, percent))
-    i, j = np.concatenate([first[some], i[near]]), np.concatenate([second[some], j[near]])
-    return pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
-
-
-def _overlapping(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs share enough sketch values, and which of them are decided exactly.
-
-    A value that one document alone holds is in no pair and left out.
+    word, bit = _word_and_bit("doc_id", "mark")
+    one = F.expr("shiftleft(1L, bit)")
+    bits = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    probe = rows.withColumn("word", word).withColumn("bit", bit)
+    hit = F.expr("shiftright(bits, bit) & 1") == 1
+    return probe.join(F.broadcast(bits), "word", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("word", "bit", "bits")
+
+
+def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """family, blocks, own, id, set: the full sets of the members, one for each id.
+
+    Only the texts that the bitmap lets through are shuffled.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), text_of().alias("text"))
+    texts = perhaps(rows, members).where("maybe").select("doc_id", "mark", "text").dropDuplicates(["doc_id", "mark"])
+    texts = texts.join(members, ["doc_id", "mark"]).select("family", "blocks", "own", "id", "text")
 
-    def flat(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        lengths = side["sketch"].map(len).to_numpy()
-        return np.repeat(np.arange(len(side)), lengths), np.concatenate(side["sketch"].to_list())
-
-    good = np.zeros((len(left), len(right)), dtype=bool)
-    exact = np.zeros_like(good)
-    rows_r, values_r = flat(right)
-    held, holders = np.unique(values_r, return_counts=True)
-    useful = held[holders > 1] if left is right else held
-    for top in range(0, len(left), _ROWS):
-        some = left.iloc[top : top + _ROWS]
-        rows_l, values_l = flat(some)
-        vocabulary = np.intersect1d(np.unique(values_l), useful, assume_unique=True)
-        overlap = np.zeros((len(some), len(right)), dtype=np.float32)
-        for start in range(0, len(vocabulary), 2048):
-            part = vocabulary[start : start + 2048]
-            tables = []
-            for rows, values, n in ((rows_l, values_l, len(some)), (rows_r, values_r, len(right))):
-                at = np.minimum(np.searchsorted(part, values), len(part) - 1)
-                hit = part[at] == values
-                table = np.zeros((n, len(part)), dtype=np.float32)
-                table[rows[hit], at[hit]] = 1
-                tables.append(table)
-            overlap += tables[0] @ tables[1].T
-        nl, nr = some["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        most = np.maximum(nl, nr)
-        whole = (most <= WIDE) & (overlap * 100 >= (nl + nr - overlap) * percent)
-        exact[top : top + _ROWS] = whole
-        good[top : top + _ROWS] = whole | (most > WIDE) & (overlap * WIDE >= np.float32(shared_at_least(WIDE, percent)) * np.minimum(nl + nr - overlap, WIDE)) & (np.minimum(nl, nr) * 100 >= most * percent)
-    return good, exact
-
-
-def _padded(side: pd.DataFrame) -> np.ndarray:
-    """The sketches as rows of ``WIDE`` values, short ones filled with the largest."""
-    out = np.full((len(side), WIDE), np.iinfo(np.int64).max)
-    for row, sketch in zip(out, side["sketch"], strict=True):
-        row[: len(sketch)] = sketch
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _lists([shingles(t, words) for t in batch.column(4).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["family", "blocks", "own", "id", "set"])
 
+    return texts.mapInArrow(run, "family long, blocks long, own long, id long, set array<long>")
 
-def _union_sketch(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, least_shared: int) -> np.ndarray:
-    """Which pairs (i, j) share ``least_shared`` of ``WIDE`` least values of their union."""
-    near = np.zeros(len(i), dtype=bool)
-    for start in range(0, len(i), 4096):
-        at = slice(start, start + 4096)
-        values = np.sort(np.concatenate([left[i[at]], right[j[at]]], axis=1), axis=1)
-        real = values[:, 1:] < np.iinfo(np.int64).max
-        twice = (values[:, 1:] == values[:, :-1]) & real
-        order = 1 + np.cumsum(real & ~twice, axis=1)  # of each value among the distinct ones
-        shared = (twice & (order <= WIDE)).sum(axis=1)
-        near[at] = shared * WIDE >= np.minimum(order[:, -1], WIDE) * least_shared
-    return near
-
-
-def candidate_lists(sketches: DataFrame, percent: int) -> DataFrame:
-    """value, id, n, leader, leader_n, holders: the inverted lists after each
-    document has left out its most frequent values. Values of a single holder are
-    in no list; leader is a list's least document, leader_n its number of shingles."""
-    flat = sketches.select("id", "n", F.explode("least").alias("value"))
-    lists = flat.groupBy("value").agg(F.count("id").alias("holders"), F.min(F.struct("id", "n")).alias("least")).where("holders > 1")
-    lists = lists.select("value", "holders", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n"))
-    shared = flat.join(lists, "value")
-    spare = F.least(F.floor((F.col("n") * percent + 99) / 100) - 1, F.lit(shared_at_least(K, percent) - 1))
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("holders"), "value"))
-    return shared.withColumn("rank", rank).where(F.col("rank") > spare).select("value", "id", "n", "leader", "leader_n", "holders")
-
-
-def links(docs: DataFrame, prints: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all similar documents of different sets.
-
-    First every document is held against the least document that leads most of
-    its lists, among those of a size that allows a link: that joins a group of
-    any size with at most as many pairs as members. Then only
-    lists whose documents are in several components are compared further, and
-    there only documents of different components, so no pair that could join
-    two components is left out. Lists of the same documents (by a 128-bit mark of
-    their ids) are compared once. The narrow ``sketches`` estimate all
-    pairs; the wider ones travel only for documents that are left then, and for
-    those of long lists.
+
+def _blocks(size: str = "n") -> Column:
+    """The blocks that the documents of a group need, by shingles and by number."""
+    return F.ceil(F.greatest(F.sum(size) * 8 / BLOCK_BYTES, F.count(size) / BLOCK_DOCS)).cast("long")
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    rows = rows.select("family", "i", "j", "side", "id", "component", "set")
+    dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.mapInArrow(lambda batches: _links(percent, batches), "a long, b long")
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, steps: Steps) -> DataFrame:
+    """Edges (a, b) that connect all similar classes, fewer than there are classes in any block.
+
+    A family of one block is compared there. The documents of a larger one are
+    dealt to blocks, with its most popular members in each, which join a group of
+    near copies to them; then those that are not in the family's largest
+    component are held against all of the family, block by block.
     """
-    narrow = sketches.select("id", "n", F.col("least").alias("sketch"))
-    named = sketches.select("id", "doc_id", "mark")
-    lists = stored(candidate_lists(sketches, percent), "lists")
-    stars = lists.where("id <> leader").where(_similar_size("n", "leader_n", percent)).groupBy("id").agg(F.mode("leader", True).alias("b")).withColumnRenamed("id", "a")
-    first = stored(verified(stored(estimated(stars, narrow, percent, K), "candidates"), docs, named, words, percent), "links")
-    found = components(first)
-    members = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
-    members = stored(members, "members")
-    marks = F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
-    several = members.groupBy("value").agg(F.count("id").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), *marks)
-    several = several.where("lo < hi").groupBy("m", "x", "y").agg(F.min("value").alias("value")).select("value", "m")
-    open_lists = stored(members.join(several, "value"), "open")
-    short = open_lists.where(F.col("m") <= SHORT)
-    x, y = short.alias("x"), short.alias("y")
-    near = (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y, near & _similar_size("x.n", "y.n", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    long = open_lists.where(F.col("m") > SHORT).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    long = long.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    long = long.join(wide_sketches(prints, named.join(long.select("id"), "id", "left_semi")).select("id", "sketch"), "id")
-    keyed = long.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "sketch")
-    blocked = keyed.groupBy("value", "i", "j").applyInPandas(lambda frame: _long_list_pairs(percent, frame), "a long, b long")
-    near_short = stored(estimated(pairs.distinct(), narrow, percent, K), "estimated")
-    near_short = estimated(near_short, wide_sketches(prints, named.join(_ids(near_short), "id", "left_semi")), percent, WIDE)
-    rest = stored(near_short.unionByName(blocked).distinct(), "candidates")
-    second = verified(rest, docs, named, words, percent)
-    return first.union(stored(second, "links"))
+    lists = steps.write(inverted(classes, percent), "inverted")
+    found = families(lists, percent, steps)
+    members = steps.write(found.withColumnRenamed("component", "family").join(lists.select("id", "doc_id", "mark", "n", "weight"), "id"), "members")
+    steps.delete(lists, found)
+    large = steps.write(members.groupBy("family").agg(_blocks().alias("blocks")).where("blocks > 1"), "large")
+    placed = members.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sets = sets_of(docs, placed, words)
+    zero, alone = F.lit(0).cast("long"), F.col("id").alias("component")
+    split = not large.isEmpty()
+    if split:
+        sets = steps.write(sets, "sets")
+    rows = sets.select("family", F.col("own").alias("i"), zero.alias("j"), F.lit(0).alias("side"), "id", alone, "set")
+    if not split:
+        return steps.write(_compared(rows, percent), "links")
+    order = W.partitionBy("family").orderBy(F.desc("weight"), "id")
+    leaders = members.join(large, "family").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("id")
+    every = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i")
+    sent = sets.join(leaders, "id", "left_semi").select("family", every, "own", "id", "set").where("i <> own")
+    sent = sent.select("family", "i", zero.alias("j"), F.lit(0).alias("side"), "id", alone, "set")
+    first = steps.write(_compared(rows.union(sent), percent), "links")
+    joined = components(first, steps=steps)
+    state = placed.where("blocks > 1").select("family", "id", "n", "blocks", "own").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    state = steps.write(state, "state")
+    sizes = state.groupBy("family", "component").count().groupBy("family").agg(F.max(F.struct("count", "component")).alias("top"))
+    rest = state.join(sizes.select("family", F.col("top.component").alias("main")), "family").where("component <> main")
+    parts = rest.groupBy("family").agg(_blocks().alias("parts"))
+    rest = rest.join(parts, "family").select("id", "family", "component", "blocks", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).alias("i"))
+    every = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("j")
+    some = rest.select("id", "family", "component", "i", every, F.lit(0).alias("side"))
+    whole = state.join(parts, "family").select("id", "family", "component", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    across = some.union(whole.select(*some.columns)).join(sets.select("id", "set"), "id")
+    return first.union(steps.write(_compared(across, percent), "links"))
 
 
 def classified(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -329,18 +474,20 @@ def classified(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
 
     Each set has a number of its own, as a doc_id may repeat with other texts.
     """
-    prints = stored(fingerprints(docs, words), "prints")
-    usable = prints.where("n > 0 and doc_id is not null")
-    one = F.min(F.struct("doc_id", "mark", "n", "least"))
-    classes = usable.groupBy("set_id").agg(one.alias("one")).select(F.monotonically_increasing_id().alias("id"), "set_id", "one.*")
-    classes = stored(classes, "sketches")
-    found = components(links(docs, prints, classes, words, percent))
-    slim = classes.select("id", "set_id", "doc_id", "mark")
-    least = F.min(F.struct("doc_id", "mark", "id")).alias("least")
-    roots = slim.join(found, "id").groupBy("component").agg(least)
-    of_class = slim.join(found.join(roots, "component").select("id", "least"), "id", "left")
-    of_class = of_class.select("set_id", "doc_id", "mark", F.coalesce("least.id", "id").eqNullSafe(F.col("id")).alias("first"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
-    return prints, stored(of_class, "classes")
+    with Steps(docs.sparkSession) as steps:
+        prints = steps.write(fingerprints(docs, words), "prints")
+        usable = prints.where("n > 0 and doc_id is not null")
+        one = F.min(F.struct("doc_id", "mark", "n", "least"))
+        classes = usable.groupBy("set_id").agg(one.alias("one")).select(F.monotonically_increasing_id().alias("id"), "set_id", "one.*")
+        classes = steps.write(classes, "classes")
+        found = components(links(docs, classes, words, percent, steps), steps=steps)
+        slim = classes.select("id", "set_id", "doc_id", "mark")
+        least = F.min(F.struct("doc_id", "mark", "id")).alias("least")
+        roots = slim.join(found, "id").groupBy("component").agg(least)
+        of_class = slim.join(found.join(roots, "component").select("id", "least"), "id", "left")
+        of_class = of_class.select("set_id", "doc_id", "mark", F.coalesce("least.id", "id").eqNullSafe(F.col("id")).alias("first"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
+        slim_prints = steps.write(prints.select("doc_id", "mark", "n", "set_id"), "prints")
+        return steps.keep(slim_prints), steps.keep(steps.write(of_class, "components"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -352,8 +499,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     nothing; a null doc_id is a component of its own (component_id null, kept
     true); rows that repeat an id with another text are documents of their own
     that share a name; an empty table gives an
-    empty result; other columns are not read. A ``percent`` too low for the
-    sketches (:func:`shared_at_least`) raises ValueError.
+    empty result; other columns are not read; a text of any length is read
+    whole. A ``percent`` too low for the sketches (:func:`shared_at_least`)
+    raises ValueError.
     """
     prepare(docs.sparkSession)
     prints, classes = classified(docs, words, percent)
@@ -367,12 +515,21 @@ def drop_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """A row of ``docs`` for each group of near duplicates, that of least doc_id, all columns as they are.
 
     Of rows that repeat a doc_id and its text one stays; with another text, that
-    copies nothing, both stay. Rows with a null doc_id all stay.
+    copies nothing, both stay. Rows with a null doc_id all stay, and so does a
+    row without words for each doc_id. Columns of any name pass untouched.
+    Rows that the bitmap clears of being a copy are not shuffled.
     """
     prepare(docs.sparkSession)
     prints, classes = classified(docs, words, percent)
-    alone = prints.where("n = 0 and doc_id is not null").select("doc_id", "mark")
-    kept = classes.where("first").select("doc_id", "mark").union(alone).select(F.col("doc_id").alias("__kept"), F.col("mark").alias("__kept_mark")).distinct()
-    one = docs.where("doc_id is not null").withColumn("__mark", mark_of())
-    one = one.join(kept, (one.doc_id.cast("long") == F.col("__kept")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi").dropDuplicates(["doc_id", "__mark"])
-    return one.drop("__mark").unionByName(docs.where("doc_id is null"))
+    named = prints.where("doc_id is not null")
+    kept = classes.where("first").select("doc_id", "mark").union(named.where("n = 0").select("doc_id", "mark")).distinct().withColumn("stays", F.lit(True))
+    keys = named.groupBy("doc_id", "mark").agg(F.count("n").alias("rows")).join(kept, ["doc_id", "mark"], "left")
+    doubtful = keys.select("doc_id", "mark", F.coalesce("stays", F.lit(False)).alias("stays"), "rows").where("not stays or rows > 1").select("doc_id", "mark", "stays")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), row)
+    seen = perhaps(given, doubtful)
+    clear = seen.where("doc_id is null or not maybe").select("row")
+    one = F.first("row") if "map<" in docs.schema.simpleString() else F.min("row")
+    checked = seen.where("doc_id is not null and maybe").groupBy("doc_id", "mark").agg(one.alias("row"))
+    checked = checked.join(doubtful, ["doc_id", "mark"], "left").where("coalesce(stays, true)").select("row")
+    return clear.union(checked).select("row.*")

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -154,9 +156,92 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(odd) == len(ODD) and all(r["kept"] for r in odd)
 
 
-@pytest.mark.parametrize("short", [1, 32])
-def test_lower_percents_miss_no_links_of_long_documents(spark, monkeypatch, short):
-    monkeypatch.setattr(neardup, "SHORT", short)
+def components_of(sets, percent=80):
+    """Least key that a chain of pairs of Jaccard similarity of ``percent`` reaches, by brute force."""
+    label = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    return label
+
+
+def word_shingles(text, words):
+    """Shingles by the contract's words, apart from the operator's code."""
+    found = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def test_shingles_follow_the_rule_for_words():
+    rnd = random.Random(8)
+    for _ in range(300):
+        text = "".join(rnd.choice("aBÉé\x1c\x85\xa0 \t\n\x0b\x0c\r,K") for _ in range(rnd.randrange(30)))
+        assert len(neardup.shingles(text, 4)) == len(word_shingles(text, 4)), repr(text)
+
+
+@pytest.mark.parametrize("limits", [{}, {"LIST": 1}, {"BLOCK_DOCS": 3}, {"LIST": 3, "BLOCK_BYTES": 4000}])
+def test_near_duplicates_match_independent_shingles(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(neardup, name, value)
+    rnd = random.Random(6)
+    rows = []
+    for i in range(16):
+        base = words_of(rnd, rnd.choice([2, 40, 200, 700])).split()
+        for j in range(10):
+            text = list(base)
+            for _ in range(rnd.randrange(1 + len(base) // 12)):
+                text[rnd.randrange(len(text))] = rnd.choice(VOCABULARY)
+            rows.append((10 * i + j, rnd.choice(["\n", " ", " \t"]).join(text).replace("ab", "AB") + (" a passage that many of the texts share" if i % 3 == 0 else ""), "en", "a"))
+    rows += [(900, None, None, None), (901, " \n", None, None), (902, rows[5][1].upper(), None, None)]
+    given = docs(spark, rows)
+    sets = {k: word_shingles(t, 4) for k, t, *_ in rows}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(given, words=4).collect()}
+    label = components_of(sets)
+    assert 10 < len(set(label.values())) < len(label) - 20
+    assert got == {k: (len(sets[k]), label[k], label[k] == k) for k in sets}
+    dropped = neardup.drop_duplicates(given.withColumn("__mark", given.doc_id).withColumn("row", given.text), words=4)
+    assert dropped.columns[-2:] == ["__mark", "row"]
+    assert sorted(r["doc_id"] for r in dropped.collect()) == sorted(set(label.values()))
+
+
+def test_pairs_inside_a_task_match_brute_force():
+    """Lists and blocks of every size, and two-sided blocks, as the tasks see them."""
+    rng = np.random.default_rng(2)
+    for size in (2, 5, 40, 90):
+        centres = [rng.integers(0, 1 << 60, 300) for _ in range(3)]
+        sets = []
+        for k in range(size):
+            s = centres[k % 3].copy()
+            some = rng.random(300) < rng.choice([0.02, 0.08, 0.15])
+            s[some] = rng.integers(0, 1 << 60, some.sum())
+            sets.append(np.unique(s[: rng.choice([300, 260])]))
+        ids = rng.permutation(1000)[:size]
+        near = np.array([[np.intersect1d(a, b).size * 100 >= 80 * np.union1d(a, b).size for a in sets] for b in sets])
+        wanted = components_of({int(k): {int(k)} for k in ids})
+
+        def joined(pairs):
+            label = {int(k): int(k) for k in ids}
+            for a, b in pairs:
+                x, y = label[int(a)], label[int(b)]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+            return label
+
+        wanted = joined((ids[i], ids[j]) for i, j in zip(*np.nonzero(near), strict=True))
+        lists = neardup._lists(sets)
+        batch = pa.RecordBatch.from_arrays([*(pa.array(np.zeros(size, np.int64)) for _ in range(4)), pa.array(ids), pa.array(ids), lists], names=list("fijsdcv"))
+        found = [r for b in neardup._links(80, iter([batch.slice(0, 1), batch.slice(1)])) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert joined(found) == wanted and len(found) < size
+        side = np.arange(size) % 2
+        across = joined((ids[i], ids[j]) for i, j in zip(*np.nonzero(near & (side[:, None] != side[None, :])), strict=True))
+        found = neardup._block_links(ids, ids, side, lists.flatten().to_numpy(), lists.offsets.to_numpy(), 80)
+        assert joined(found) == across
+        rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int64)), pa.array(ids), pa.array(np.array([len(s) for s in sets])), neardup._lists([s[: neardup.K] for s in sets])], names=list("vine"))
+        tested = joined(r for b in neardup._candidates(80, iter([rows.slice(0, 3), rows.slice(3)])) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        assert all(tested[int(ids[i])] == tested[int(ids[j])] for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_lower_percents_miss_no_links_of_long_documents(spark):
     rows = []
     for i in range(12):  # the first of three leads the lists of the others, but is no link (740 of 1260 words)
         common = [f"w{i}x{j}" for j in range(750)]
@@ -164,7 +249,7 @@ def test_lower_percents_miss_no_links_of_long_documents(spark, monkeypatch, shor
         rows += [(3 * i, " ".join(common[:740] + own[0]), "en", "a"), *((3 * i + k, " ".join(common + own[k][:250]), "en", "a") for k in (1, 2))]
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), words=1, percent=60).collect()}
     assert got == {k: k - (k % 3 == 2) for k in range(36)}
-    assert (neardup.shared_at_least(neardup.K, 80), neardup.shared_at_least(neardup.WIDE, 95)) == (neardup.SHARED, neardup.WIDE_SHARED)
+    assert neardup.shared_at_least(80) == neardup.shared_at_least(95) == neardup.SHARED
     with pytest.raises(ValueError):
         neardup.near_duplicates(docs(spark, rows), percent=20)
 
@@ -181,17 +266,6 @@ def test_texts_that_share_an_id_are_apart(spark):
     assert [x for x in kept if x[0] != 4] == sorted([(0, a), (1, a), (1, b), (5, "")]) and [x[0] for x in kept].count(4) == 1
 
 
-def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SHORT", 1)
-    monkeypatch.setattr(neardup, "BLOCK", 3)
-    base = words_of(random.Random(9), 60).split()
-    rows = [(i, " ".join(base[:54] + [f"x{i}", f"y{i}", f"z{i}"]), "en", "a") for i in range(9)] + [(50, " ".join(base[6:]), "en", "a")]
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), words=4).collect()}
-    sets = {k: set(neardup.shingles(t, 4).tolist()) for k, t, *_ in rows}
-    alike = 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
-    assert all(got[i] == (0 if alike else i) for i in range(9))
-
-
 def test_mix_meets_targets(spark):
     rnd = random.Random(2)
     rows = [(i, words_of(rnd, rnd.randrange(60)), "en", rnd.choice(["a", "b", "c", None])) for i in range(300)]
