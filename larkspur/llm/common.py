@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch. Texts may be long, so batches are kept short.
 ARROW_ROWS = 512
 ARROW_BYTES = 4 << 20
+#: Bytes of texts that are encoded together, so that more of their words are the same.
+ENCODE_BYTES = 8 << 20
 #: Bytes that a task holds of a Parquet file it writes to shared storage.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -80,8 +82,8 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary"))
 
 
-def by_bytes(values: list, limit: int, size: Callable = len) -> Iterator[list]:
-    """Cut a list into runs whose sizes sum to about ``limit``."""
+def by_bytes(values: Iterable, limit: int, size: Callable = len) -> Iterator[list]:
+    """Cut values into runs whose sizes sum to about ``limit``."""
     run: list = []
     total = 0
     for value in values:
@@ -94,6 +96,13 @@ def by_bytes(values: list, limit: int, size: Callable = len) -> Iterator[list]:
         yield run
 
 
+def joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about ``limit`` bytes."""
+    for run in by_bytes(batches, limit, size=lambda b: b.nbytes):
+        if whole := pa.Table.from_batches(run).combine_chunks().to_batches():
+            yield whole[0]
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

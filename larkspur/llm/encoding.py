@@ -1,28 +1,47 @@
-"""Exact tokenizer results through a bounded cache of the pieces between spaces.
-
-A cut is safe before a space whose neighbours are no white space: byte-level
-pre-tokenizers attach such a space to the word after it, and the word-end
-tokenizer drops it, so no token spans the cut and the library's result for a
-text is the concatenation of its results for the pieces. Texts keep their
-special strings in one piece, because these hold no space.
+"""Exact tokenizer results in batches: distinct pieces go to the library, once.
+
+A cut is safe before a space or a line feed whose neighbours are no white space:
+byte-level pre-tokenizers attach such a space to the word after it and keep the
+line feed alone, and the word-end tokenizer drops both, so no token spans the
+cut and the library's result for a text is the concatenation of its results for
+the pieces. Special strings hold no white space and so stay in one piece. In
+text without spaces, a cut is also safe behind a full-width stop or comma between
+two letters. This holds for tokenizers whose rules :func:`cuts_are_safe` knows;
+for any other one, whole texts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import sys
-from array import array
-from collections.abc import Callable
+import re
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from larkspur.llm.common import by_bytes
 
-#: Pieces kept at most in each of two generations, and the longest piece kept,
-#: in characters.
-CACHE_PIECES = 400_000
-CACHE_CHARS = 64
+#: Pieces that a worker process remembers (about 150 bytes each), and the longest
+#: one remembered, in characters. When there are more, all are forgotten.
+CACHE_PIECES, CACHE_CHARS = 1_500_000, 64
+#: Ids that the memory may hold.
+CACHE_IDS = 1 << 24
 #: Bytes given to the library at once.
 BATCH_BYTES = 1 << 18
 
+# The rules of public tokenizers under which the cuts are safe.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_LEVEL = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, {**_BYTE_LEVEL, "use_regex": False}]}
+_WORD_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+#: A line feed between two characters that are no white space.
+_LINE = re.compile(r"(?<=\S)(?=\n\S)")
+#: Behind a full-width stop or comma that stands between two letters.
+_STOP = re.compile("(?<=[^\\W\\d_][。，])(?=[^\\W\\d_])")
+
 
 def load(path: str):
     """A ``tokenizers`` or ``sentencepiece`` tokenizer by file ending."""
@@ -36,148 +55,208 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def pieces(parts: list[str]) -> tuple[str, list[str]]:
-    """The first piece, and the later pieces, each without the space before it,
-    of a text that was split at every space: parts are joined again where a
-    neighbour of the space is white space or the text's end."""
-    units: list[str] = []
-    for i, part in enumerate(parts):
-        if i and part and not part[0].isspace() and units[-1] and not units[-1][-1].isspace():
-            units.append(part)
-        elif units:
-            units[-1] += " " + part
-        else:
-            units.append(part)
-    return units[0], units[1:]
-
-
-def _byte_letters() -> dict[int, str]:
-    """The public byte-level alphabet: printable bytes stand for themselves,
-    the others for the code points from 256 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
-
+def cuts_are_safe(tokenizer) -> bool:
+    """Whether the tokenizer's normaliser, pre-tokenizer and special strings are ones that the cuts are made for."""
+    if not hasattr(tokenizer, "to_str"):
+        return False
+    rules = json.loads(tokenizer.to_str())
+    form = rules["normalizer"], rules["pre_tokenizer"]
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+    whole = rules["truncation"] is None and rules["padding"] is None and not rules["model"].get("dropout")
+    return plain and whole and form in ((None, _BYTE_LEVEL), (_WORD_FORM, _WORD_LEVEL))
 
-_LETTERS = _byte_letters()
-#: ASCII marks that follow a word as one token group of their own, without the
-#: apostrophe, which contractions bind to the letters.
-_TAIL = ".,!?;:*#$%&"
 
+def _edge(piece: str) -> bool:
+    """Whether a space beside the piece may be no safe cut."""
+    return not piece or piece[0].isspace() or piece[-1].isspace()
 
-class PieceCache:
-    """value(ids) of pieces, asked of the library in byte-balanced batches.
 
-    A piece of Latin letters with plain marks after it is one or two groups to
-    the pre-tokenizer, so its letters go straight to the library's merge model;
-    anything else goes through the whole library.
+def units(text: str) -> list[str]:
+    """The text cut wherever it is safe: each later unit begins with the space or
+    line feed that it was cut before, or, behind a full-width stop, with a letter."""
+    out: list[str] = []
+    for i, part in enumerate(text.split(" ")):
+        if i and part and not part[0].isspace() and out[-1] and not out[-1][-1].isspace():
+            out.append(" " + part)
+        elif out:
+            out[-1] += " " + part
+        else:
+            out.append(part)
+    shorter: list[str] = []
+    for unit in out:
+        for line in _LINE.split(unit) if len(unit) > CACHE_CHARS else [unit]:
+            shorter += _STOP.split(line) if len(line) > CACHE_CHARS else [line]
+    return shorter
+
+
+class Encoder:
+    """Ids, or their number only, of batches of texts.
+
+    A batch is split at its spaces and its distinct pieces are found in Arrow;
+    those not met before go to the library in batches of about equal bytes. The
+    ids of a text are then gathered by numpy. A piece has a number: where its ids
+    start in one array, and how many there are. Number 0 marks a piece that is
+    cut again, with its text, by :func:`units`; number 1 is the id that ends a text.
     """
 
-    def __init__(self, tokenizer, value: Callable, lower: bool) -> None:
-        self.tokenizer, self.value, self.lower = tokenizer, value, lower
-        self.kept: dict[str, object] = {}
-        self.older: dict[str, object] = {}  # what was kept before; a piece found here is kept again
-        self.words: dict[str, object] = {}
-        self.firsts: dict[str, object] = {}
-        self.tails: dict[str, object] = {"": value([])}
-
-    def _ask(self, texts: list[str]) -> list:
-        out: list = []
+    def __init__(self, path: str, keep_ids: bool) -> None:
+        self.tokenizer, self.keep_ids = load(path), keep_ids
+        self.safe = cuts_are_safe(self.tokenizer)
+        self.mark, self.mark_id, self.has_mark = "", -1, None
+        if self.safe and (special := self.tokenizer.get_added_tokens_decoder()):
+            self.mark_id = min(special)
+            self.mark = special[self.mark_id].content
+            self.has_mark = re.compile("|".join(re.escape(t.content) for t in special.values())).search
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # by the piece with the space or line feed before it
+        self.first: dict[str, int] = {}  # at the start of a text
+        self.count, self.used = 2, 1
+        self.n, self.start = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.n[1] = 1
+        self.pool = np.zeros(1024, np.uint32)
+
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        n, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for run in by_bytes(texts, BATCH_BYTES):
-            out += [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
-        return out
-
-    def _plain(self, piece: str):
-        """The value of letters and marks, or None for any other piece."""
-        core = piece.rstrip(_TAIL)
-        ascii_only = core.isascii()
-        if not core.isalpha() or len(core) > CACHE_CHARS or not (ascii_only or max(core) < "\u0130"):
-            return None
-        word = self.words.get(core)
-        if word is None:
-            shown = core.lower() if self.lower else core
-            if not ascii_only:
-                shown = shown.encode().decode("latin-1").translate(_LETTERS)
-            if not self.lower:
-                shown = _LETTERS[0x20] + shown
-            word = self.words[core] = self.value([t.id for t in self.tokenizer.model.tokenize(shown)])
-        tail = self.tails.get(marks := piece[len(core) :])
-        if tail is None:
-            tail = self._ask([marks])[0]
-            if len(marks) < 8:
-                self.tails[marks] = tail
-        return word + tail
-
-    def of(self, text: str) -> list:
-        """The value of each piece of ``text``, in order.
-
-        The text is first split at every space. Only parts without white space
-        at either end are ever kept, so a text whose parts are all found has
-        safe cuts only; the others are looked at part by part.
+            if not hasattr(self.tokenizer, "encode_batch_fast"):
+                made = self.tokenizer.encode(run, num_threads=1)
+            elif self.mark and not any(self.has_mark(t) for t in run):
+                # special strings part a text before anything else, so they part these texts from each other
+                joined = np.array(self.tokenizer.encode_batch_fast([self.mark.join(run)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                marks = joined == self.mark_id
+                at = np.concatenate([[-1], np.nonzero(marks)[0], [len(joined)]])
+                n.append(np.diff(at) - 1)
+                ids.append(joined[~marks])
+                continue
+            else:
+                made = [e.ids for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+            n.append(np.fromiter(map(len, made), np.int64, len(made)))
+            ids.append(np.fromiter(chain.from_iterable(made), np.uint32))
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """New numbers for the pieces."""
+        ids, n = self._ask(pieces)
+        self.n, self.start = _grown(self.n, self.count, len(n)), _grown(self.start, self.count, len(n))
+        new = np.arange(self.count, self.count + len(n), dtype=np.int32)
+        self.n[new] = n
+        self.count += len(n)
+        if self.keep_ids:
+            self.start[new] = self.used + np.cumsum(n) - n
+            self.pool = _grown(self.pool, self.used, len(ids))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        return new
+
+    def _numbers(self, pieces: list[str], known: dict[str, int], lead: str = "", checked: bool = True) -> np.ndarray:
+        """The number of each piece; ``lead`` stands before all of them.
+
+        Unless they are ``checked``, those that are no safe cuts or worth cutting further get 0.
         """
-        first, *rest = parts = text.split(" ")
-        if rest and (not first or first[-1].isspace()):
-            return self._joined(parts)
-        out = list(map(self.kept.get, rest))
-        if None in out:
-            missing = {p: None for p, v in zip(rest, out, strict=True) if v is None}
-            others = []
-            for p in missing:
-                value = missing[p] = self.older.get(p) or self._plain(p)
-                if value is None:
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        return self._joined(parts)
-                    others.append(p)
-            out = self._filled(rest, out, missing, others)
-        out.insert(0, self._first(first))
-        return out
-
-    def _joined(self, parts: list[str]) -> list:
-        """``of`` for a text some of whose spaces are no safe cuts."""
-        first, rest = pieces(parts)
-        out = list(map(self.kept.get, rest))
-        missing = {p: self._plain(p) for p, v in zip(rest, out, strict=True) if v is None}
-        others = [p for p, v in missing.items() if v is None]
-        return [self._first(first), *self._filled(rest, out, missing, others)]
-
-    def _first(self, first: str):
-        start = self.firsts.get(first)
-        if start is None:
-            start = self._ask([first])[0]
-            if len(first) <= CACHE_CHARS and len(self.firsts) < CACHE_PIECES:
-                self.firsts[first] = start
-        return start
-
-    def _filled(self, rest: list[str], out: list, missing: dict, others: list[str]) -> list:
-        """``out`` with the values that the cache did not have, which it then keeps."""
-        missing.update(zip(others, self._ask([" " + p for p in others]), strict=True))
-        out = [missing[p] if v is None else v for p, v in zip(rest, out, strict=True)]
-        if len(self.kept) > CACHE_PIECES:
-            self.older, self.kept = self.kept, {}
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
-        for p in others:
-            if len(p) > CACHE_CHARS or p[-1].isspace():
+        got = list(map(known.get, pieces))
+        if checked:
+            got = [k or None for k in got]
+        if None not in got:
+            return np.array(got, dtype=np.int32)
+        missing = dict.fromkeys(p for p, k in zip(pieces, got, strict=True) if k is None)
+        if not checked:
+            odd = [p for p in missing if _edge(p) or len(p) > CACHE_CHARS]
+            for p in odd:
                 del missing[p]
-        self.kept.update(missing)
+            known.update((p, 0) for p in odd if len(p) <= CACHE_CHARS)
+            got = [0 if k is None and p not in missing else k for p, k in zip(pieces, got, strict=True)]
+        found = dict(zip(missing, self._learn([lead + p for p in missing]).tolist(), strict=True))
+        known.update((p, k) for p, k in found.items() if len(p) <= CACHE_CHARS and not (checked and p and p[-1].isspace()))
+        return np.array([found[p] if k is None else k for p, k in zip(pieces, got, strict=True)], dtype=np.int32)
+
+    def _unit_numbers(self, text: str) -> np.ndarray:
+        """Numbers of a text that is cut with care."""
+        start, *rest = units(text)
+        spaced = [u[0] in " \n" for u in rest]
+        out = np.empty(len(rest) + 1, np.int32)
+        out[:1] = self._numbers([start], self.first)
+        led = np.array([0, *spaced], dtype=bool)
+        raw = ~led
+        raw[0] = False
+        # a unit after a space is known without it; one after a line feed with it, as no part of a split starts so
+        keys = [u[1:] if u[0] == " " else u for u, s in zip(rest, spaced, strict=True) if s]
+        blank = np.array([u[0] == " " for u, s in zip(rest, spaced, strict=True) if s], dtype=bool)
+        numbers = np.empty(len(keys), np.int32)
+        numbers[blank] = self._numbers([k for k, b in zip(keys, blank, strict=True) if b], self.known, " ")
+        numbers[~blank] = self._numbers([k for k, b in zip(keys, blank, strict=True) if not b], self.known)
+        out[led] = numbers
+        out[raw] = self._learn([u for u, s in zip(rest, spaced, strict=True) if not s])
         return out
 
-
-def ids_as_bytes(ids: list[int]) -> bytes:
-    """The ids as little-endian unsigned 32-bit numbers."""
-    numbers = array("I", ids)
-    if sys.byteorder == "big":
-        numbers.byteswap()
-    return numbers.tobytes()
-
-
-_CACHES: dict[tuple, object] = {}
-
-
-def cached(path: str, value: Callable) -> PieceCache:
-    """One cache a worker process for each tokenizer file and value."""
-    key = (path, value.__name__)
-    if key not in _CACHES:
-        tokenizer = load(path)
-        _CACHES[key] = PieceCache(tokenizer, value, lower=tokenizer.normalizer is not None)
-    return _CACHES[key]
+    def _pieces(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of all texts, and where each text starts, and the end."""
+        if len(self.known) + len(self.first) > CACHE_PIECES or self.used > CACHE_IDS or self.count > 4 * CACHE_PIECES:
+            self._forget()
+        if not self.safe:
+            return self._learn(texts.to_pylist()), np.arange(len(texts) + 1)
+        parts = pc.split_pattern(texts, " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        flat = parts.flatten()
+        distinct = flat.dictionary_encode()
+        numbers = self._numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, " ", checked=False)
+        numbers = numbers[distinct.indices.to_numpy()]
+        starts = flat.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False).tolist()
+        several = np.diff(at) > 1
+        careful = np.array([len(s) > CACHE_CHARS or (not s or s[-1].isspace()) and more for s, more in zip(starts, several.tolist(), strict=True)], dtype=bool)
+        numbers[at[:-1]] = 1  # any but 0
+        odd = np.concatenate([[0], np.cumsum(numbers == 0)])
+        careful |= odd[at[1:]] > odd[at[:-1]]
+        plain = np.nonzero(~careful)[0]
+        numbers[at[:-1][plain]] = self._numbers([starts[k] for k in plain.tolist()], self.first)
+        if not careful.any():
+            return numbers, at
+        runs, sizes, before = [], np.diff(at), 0
+        for k in np.nonzero(careful)[0].tolist():
+            again = self._unit_numbers(texts[k].as_py())
+            runs += [numbers[before : at[k]], again]
+            sizes[k], before = len(again), at[k + 1]
+        runs.append(numbers[before:])
+        return np.concatenate(runs), np.concatenate([[0], np.cumsum(sizes)])
+
+    def counts(self, texts: pa.StringArray) -> np.ndarray:
+        """The number of ids of each text."""
+        numbers, at = self._pieces(texts)
+        total = np.concatenate([[0], np.cumsum(self.n[numbers], dtype=np.int64)])
+        return total[at[1:]] - total[at[:-1]]
+
+    def ids(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each followed by ``end``, and where each starts, and the end."""
+        numbers, at = self._pieces(texts)
+        self.pool[0] = end  # of number 1
+        rows = len(texts)
+        whole = np.ones(len(numbers) + rows, dtype=np.int32)
+        whole[np.arange(len(numbers)) + np.repeat(np.arange(rows), np.diff(at))] = numbers
+        n = self.n[whole]
+        total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        where = np.repeat(self.start[whole] - total[:-1], n)
+        where += np.arange(total[-1])
+        ids = self.pool[where]
+        return ids, total[at + np.arange(rows + 1)]
+
+
+def _grown(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(array):
+        return array
+    out = np.zeros(max(2 * len(array), used + more), array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, keep_ids: bool) -> Encoder:
+    """One encoder a worker process for each tokenizer file."""
+    key = path, keep_ids
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, keep_ids)
+    return _ENCODERS[key]

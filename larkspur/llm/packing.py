@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import prepare, stored, text_of
-from larkspur.llm.encoding import cached, ids_as_bytes
+from larkspur.llm.common import ENCODE_BYTES, joined, prepare, stored, text_of
+from larkspur.llm.encoding import encoder
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY = 1024
@@ -207,16 +207,17 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cached(path, ids_as_bytes)
-        end = ids_as_bytes([END_ID])
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join([*cache.of(text), end])
-                n = len(ids) // 4
-                rows += [(doc, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for batch in joined(batches, ENCODE_BYTES):
+            ids, at = encoder(path, keep_ids=True).ids(batch.column(1), END_ID)
+            n = np.diff(at)
+            each = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), each)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)) * capacity
+            length = np.minimum(capacity, n[row] - start)
+            held = memoryview(ids.astype("<u4").tobytes())
+            crcs = [zlib.crc32(held[4 * s : 4 * (s + k)]) for s, k in zip((at[row] + start).tolist(), length.tolist(), strict=True)]
+            doc = batch.column(0).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(n[row])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, _PIECES)
 

@@ -1,9 +1,11 @@
 """The corpus operators against brute force, round trips and odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,39 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_give_the_library_s_ids(name):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_encoder_gives_the_library_s_ids(name, monkeypatch):
     path = public_tokenizers.path(name)
-    library, cache = encoding.load(path), encoding.cached(path, encoding.ids_as_bytes)
+    library = encoding.load(path)
     rnd = random.Random(1)
-    texts = ["", " ", "a  b ", "x\n y", "é <|endoftext|> b", "don't 's", "日本 語", "a \x1cb c\x85 d", "a" * 3000, "Word, word. WORD!"]
-    texts += ["".join(rnd.choice(" abC\n\té'1²_!́\xa0,.<|>") for _ in range(rnd.randrange(40))) for _ in range(2000)]
-    for text in texts * 2:
-        assert b"".join(cache.of(text)) == encoding.ids_as_bytes(library.encode(text, add_special_tokens=False).ids), repr(text)
+    texts = ["", " ", "a  b ", "x\n y", "\u00e9 <|endoftext|> b", "don't 's", "\u65e5\u672c \u8a9e", "a \x1cb c\x85 d", "a" * 3000, "Word, word. WORD!", "\u65e5\u672c\u8a9e\u3002" * 400, "line\n" * 300 + "end ", "one\ntwo'\n's " * 90]
+    texts += ["".join(rnd.choice(" abC\n\t\u00e9'1\u00b2_!\u0301\xa0,.<|>\u3002\uff0c\u8a9e") for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    texts += ["".join(rnd.choice("ab\n\u00e9'1\u0301\u3002\uff0c\u8a9e\u1161") for _ in range(rnd.randrange(65, 150))) for _ in range(300)]
+    if name.endswith(".model"):
+        want = library.encode(texts, num_threads=1)
+    else:
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for limit in (encoding.CACHE_PIECES, 50):
+        monkeypatch.setattr(encoding, "CACHE_PIECES", limit)
+        full, short = encoding.Encoder(path, True), encoding.Encoder(path, False)
+        assert full.safe == (not name.endswith(".model"))
+        for part in range(0, len(texts), 100):
+            for _ in range(2):
+                batch = pa.array(["unseen", *texts[part : part + 100]])[1:]
+                ids, at = full.ids(batch, 7)
+                for k, text in enumerate(texts[part : part + 100]):
+                    assert ids[at[k] : at[k + 1]].tolist() == [*want[part + k], 7], repr(text)
+                assert short.counts(batch).tolist() == [len(x) for x in want[part : part + 100]]
+
+
+def test_unknown_tokenizers_get_whole_texts(tmp_path):
+    rules = json.loads(encoding.load(public_tokenizers.path("byte_bpe_50k.json")).to_str())
+    rules["normalizer"] = {"type": "Replace", "pattern": {"String": " "}, "content": "_"}
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    made = encoding.Encoder(str(tmp_path / "other.json"), True)
+    texts = ["a b  c", "", "the house of words"]
+    ids, at = made.ids(pa.array(texts), 0)
+    assert not made.safe and [ids[s : e - 1].tolist() for s, e in zip(at, at[1:])] == [encoding.load(str(tmp_path / "other.json")).encode(t).ids for t in texts]
 
 
 def test_token_counts_of_odd_rows(spark):
@@ -70,17 +96,20 @@ def test_plan_covers_each_item_once():
 def test_pack_keeps_every_id(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = encoding.load(path)
-    rows = [(i, words_of(random.Random(i), 40 * i), "en", "a") for i in range(40)] + ODD
+    rows = [(i + 10, words_of(random.Random(i), 40 * i), "en", "a") for i in range(40)] + ODD
     got = packing.pack(docs(spark, rows), path).collect()
-    held = {}
+    want = Counter()
+    for k, text, *_ in rows:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want.update((k, at, len(ids[at : at + 1024]), zlib.crc32(ids[at : at + 1024].tobytes()), len(ids)) for at in range(0, len(ids), 1024))
+    assert Counter(tuple(r[:5]) for r in got) == want
+    sequences = {}
     for r in got:
-        held.setdefault(r["doc_id"], []).append(r)
-    for k, text, *_ in rows[:40]:
-        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
-        if k not in (1, 2, 3, 4, None):
-            pieces = sorted(held[k], key=lambda r: r["start"])
-            assert [p["start"] for p in pieces] == list(range(0, len(ids), 1024))
-            assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for parts in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [at for at, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 1024
     assert packing.pack(docs(spark, []), path).isEmpty()
 
 
