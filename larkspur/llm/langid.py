@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import prepare, text_of
+from larkspur.llm.common import Steps, prepare, text_of
 
 #: N-grams of a profile, and documents a language's profile is fitted on at
 #: most (in expectation: those whose hashed id falls below the share).
 PROFILE, SAMPLE = 400, 3000
+#: Values of ``lang`` whose shares are broadcast; more are joined by a shuffle.
+LANGS = 10_000
 #: No letter at all.
 UNKNOWN = "und"
 _SPREAD = 16
@@ -103,10 +105,9 @@ def train(docs: DataFrame, n: int = PROFILE, sample: int = SAMPLE) -> Profiles:
     prepare(docs.sparkSession)
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     taught = taught.where("doc_id is not null and lang is not null and text is not null")
-    sizes = taught.groupBy("lang").count()
+    sizes = docs.where("doc_id is not null and lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count()
     share = sizes.select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("share"))
     part = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = taught.join(share, "lang").where(part < F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -126,10 +127,14 @@ def train(docs: DataFrame, n: int = PROFILE, sample: int = SAMPLE) -> Profiles:
             codes, counts = merged(lang)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(counts)], names=["lang", "code", "n"])
 
-    counted = chosen.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    order = W.partitionBy("lang", F.pmod(F.xxhash64("code"), F.lit(_SPREAD))).orderBy(F.desc("n"), "code")
-    kept = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("lang", "code", "n")
-    got = kept.toPandas()  # languages x _SPREAD x n rows at most
+    with Steps(docs.sparkSession) as steps:
+        share = steps.write(share, "shares")
+        few = share.limit(LANGS + 1).count() <= LANGS
+        chosen = taught.join(F.broadcast(share) if few else share, "lang").where(part < F.col("share")).select("lang", "text")
+        counted = chosen.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        order = W.partitionBy("lang", F.pmod(F.xxhash64("code"), F.lit(_SPREAD))).orderBy(F.desc("n"), "code")
+        kept = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("lang", "code", "n")
+        got = kept.toPandas()  # languages x _SPREAD x n rows at most
     return profiles_of({str(lang): (g["code"].to_numpy().astype(np.int64).view(np.uint64), g["n"].to_numpy()) for lang, g in got.groupby("lang")}, n)
 
 
