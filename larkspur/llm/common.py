@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 ARROW_BYTES = 4 << 20
 #: Bytes of texts that are encoded together, so that more of their words are the same.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Bytes that a task holds of a Parquet file it writes to shared storage.
 ROW_GROUP_BYTES = 16 << 20
 

@@ -12,9 +12,14 @@ for any other one, whole texts go to the library.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -23,11 +28,15 @@ import pyarrow.compute as pc
 
 from larkspur.llm.common import by_bytes
 
-#: Pieces that a worker process remembers (about 150 bytes each), and the longest
-#: one remembered, in characters. When there are more, all are forgotten.
-CACHE_PIECES, CACHE_CHARS = 1_500_000, 64
+#: Pieces that a worker process remembers (about 60 bytes each, in Arrow), and the
+#: longest one remembered, in characters. When there are more, all are forgotten.
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 64
+#: Pieces at the start of a text that it remembers.
+CACHE_FIRST = 50_000
 #: Ids that the memory may hold.
 CACHE_IDS = 1 << 24
+#: Seconds without a batch after which an encoder forgets.
+IDLE = 3
 #: Bytes given to the library at once.
 BATCH_BYTES = 1 << 18
 
@@ -101,17 +110,19 @@ class Encoder:
 
     def __init__(self, path: str, keep_ids: bool) -> None:
         self.tokenizer, self.keep_ids = load(path), keep_ids
+        self.uses, self.timer = 0, None
         self.safe = cuts_are_safe(self.tokenizer)
         self.mark, self.mark_id, self.has_mark = "", -1, None
         if self.safe and (special := self.tokenizer.get_added_tokens_decoder()):
             self.mark_id = min(special)
             self.mark = special[self.mark_id].content
             self.has_mark = re.compile("|".join(re.escape(t.content) for t in special.values())).search
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # by the piece with the space or line feed before it
-        self.first: dict[str, int] = {}  # at the start of a text
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())  # pieces, without the space before them but with a line feed
+        self.code = np.zeros(0, np.int32)  # their numbers
+        self.first: dict[str, int] = {}  # numbers of pieces at the start of a text
         self.count, self.used = 2, 1
         self.n, self.start = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.n[1] = 1
@@ -151,72 +162,74 @@ class Encoder:
             self.used += len(ids)
         return new
 
-    def _numbers(self, pieces: list[str], known: dict[str, int], lead: str = "", checked: bool = True) -> np.ndarray:
-        """The number of each piece; ``lead`` stands before all of them.
-
-        Unless they are ``checked``, those that are no safe cuts or worth cutting further get 0.
-        """
-        got = list(map(known.get, pieces))
-        if checked:
-            got = [k or None for k in got]
-        if None not in got:
-            return np.array(got, dtype=np.int32)
-        missing = dict.fromkeys(p for p, k in zip(pieces, got, strict=True) if k is None)
-        if not checked:
-            odd = [p for p in missing if _edge(p) or len(p) > CACHE_CHARS]
-            for p in odd:
-                del missing[p]
-            known.update((p, 0) for p in odd if len(p) <= CACHE_CHARS)
-            got = [0 if k is None and p not in missing else k for p, k in zip(pieces, got, strict=True)]
-        found = dict(zip(missing, self._learn([lead + p for p in missing]).tolist(), strict=True))
-        known.update((p, k) for p, k in found.items() if len(p) <= CACHE_CHARS and not (checked and p and p[-1].isspace()))
+    def _numbers(self, keys: pa.StringArray, careful: bool = False) -> np.ndarray:
+        """The numbers of distinct pieces. Unless they come from :func:`units`, those
+        that are no safe cuts, or worth cutting further, get 0."""
+        code = np.full(len(keys), -1, np.int32)
+        if len(self.known):
+            at = pc.index_in(keys, value_set=self.known).fill_null(-1).to_numpy()
+            code[at >= 0] = self.code[at[at >= 0]]
+        new = np.nonzero((code < 0) | (careful & (code == 0)))[0]
+        words = _strings(keys.take(pa.array(new)))
+        odd = np.fromiter((_edge(w) or len(w) > CACHE_CHARS for w in words), bool, len(words))
+        unmet = code[new] < 0
+        code[new] = 0
+        asked = np.ones(len(words), dtype=bool) if careful else ~odd
+        code[new[asked]] = self._learn([w if w[0] == "\n" else " " + w for w, ask in zip(words, asked.tolist(), strict=True) if ask])
+        kept = unmet & (~odd if careful else np.fromiter((len(w) <= CACHE_CHARS for w in words), bool, len(words)))
+        self.known = pa.concat_arrays([self.known, keys.take(pa.array(new[kept]))])
+        self.code = np.concatenate([self.code, code[new[kept]]])
+        return code
+
+    def _first_numbers(self, pieces: list[str]) -> np.ndarray:
+        got = list(map(self.first.get, pieces))
+        missing = list(dict.fromkeys(p for p, k in zip(pieces, got, strict=True) if k is None))
+        found = dict(zip(missing, self._learn(missing).tolist(), strict=True))
+        if len(self.first) < CACHE_FIRST:
+            self.first.update((p, k) for p, k in found.items() if len(p) <= CACHE_CHARS)
         return np.array([found[p] if k is None else k for p, k in zip(pieces, got, strict=True)], dtype=np.int32)
 
-    def _unit_numbers(self, text: str) -> np.ndarray:
-        """Numbers of a text that is cut with care."""
-        start, *rest = units(text)
-        spaced = [u[0] in " \n" for u in rest]
-        out = np.empty(len(rest) + 1, np.int32)
-        out[:1] = self._numbers([start], self.first)
-        led = np.array([0, *spaced], dtype=bool)
-        raw = ~led
-        raw[0] = False
-        # a unit after a space is known without it; one after a line feed with it, as no part of a split starts so
-        keys = [u[1:] if u[0] == " " else u for u, s in zip(rest, spaced, strict=True) if s]
-        blank = np.array([u[0] == " " for u, s in zip(rest, spaced, strict=True) if s], dtype=bool)
-        numbers = np.empty(len(keys), np.int32)
-        numbers[blank] = self._numbers([k for k, b in zip(keys, blank, strict=True) if b], self.known, " ")
-        numbers[~blank] = self._numbers([k for k, b in zip(keys, blank, strict=True) if not b], self.known)
-        out[led] = numbers
-        out[raw] = self._learn([u for u, s in zip(rest, spaced, strict=True) if not s])
-        return out
+    def _careful_numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's units."""
+        cut = [units(t) for t in texts]
+        later = [u for row in cut for u in row[1:]]
+        out = np.empty(len(later), np.int32)
+        led = np.array([u[0] in " \n" for u in later], dtype=bool)
+        keys = pa.array([u[1:] if u[0] == " " else u for u in later if u[0] in " \n"], pa.string()).dictionary_encode()
+        out[led] = self._numbers(keys.dictionary, careful=True)[keys.indices.to_numpy()]
+        out[~led] = self._learn([u for u in later if u[0] not in " \n"])
+        ends = np.cumsum([len(row) - 1 for row in cut])
+        first = self._first_numbers([row[0] for row in cut])
+        return [np.concatenate([first[k : k + 1], rest]) for k, rest in enumerate(np.split(out, ends[:-1]))]
 
     def _pieces(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the pieces of all texts, and where each text starts, and the end."""
-        if len(self.known) + len(self.first) > CACHE_PIECES or self.used > CACHE_IDS or self.count > 4 * CACHE_PIECES:
-            self._forget()
+        if len(self.known) > CACHE_PIECES or self.used > CACHE_IDS or self.count > 2 * CACHE_PIECES:
+            self.forget()
         if not self.safe:
-            return self._learn(texts.to_pylist()), np.arange(len(texts) + 1)
+            return self._learn(_strings(texts)), np.arange(len(texts) + 1)
         parts = pc.split_pattern(texts, " ")
         at = parts.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         flat = parts.flatten()
+        starts = _strings(flat.take(pa.array(at[:-1])))
         distinct = flat.dictionary_encode()
-        numbers = self._numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, " ", checked=False)
-        numbers = numbers[distinct.indices.to_numpy()]
-        starts = flat.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False).tolist()
+        del parts, flat
+        numbers = self._numbers(distinct.dictionary)[distinct.indices.to_numpy()]
+        del distinct
+        pa.default_memory_pool().release_unused()
         several = np.diff(at) > 1
         careful = np.array([len(s) > CACHE_CHARS or (not s or s[-1].isspace()) and more for s, more in zip(starts, several.tolist(), strict=True)], dtype=bool)
         numbers[at[:-1]] = 1  # any but 0
         odd = np.concatenate([[0], np.cumsum(numbers == 0)])
         careful |= odd[at[1:]] > odd[at[:-1]]
         plain = np.nonzero(~careful)[0]
-        numbers[at[:-1][plain]] = self._numbers([starts[k] for k in plain.tolist()], self.first)
+        numbers[at[:-1][plain]] = self._first_numbers([starts[k] for k in plain.tolist()])
         if not careful.any():
             return numbers, at
         runs, sizes, before = [], np.diff(at), 0
-        for k in np.nonzero(careful)[0].tolist():
-            again = self._unit_numbers(texts[k].as_py())
+        rows = np.nonzero(careful)[0]
+        for k, again in zip(rows.tolist(), self._careful_numbers(_strings(texts.take(pa.array(rows)))), strict=True):
             runs += [numbers[before : at[k]], again]
             sizes[k], before = len(again), at[k + 1]
         runs.append(numbers[before:])
@@ -243,20 +256,50 @@ class Encoder:
         return ids, total[at + np.arange(rows + 1)]
 
 
+def _strings(array: pa.StringArray) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def _grown(array: np.ndarray, used: int, more: int) -> np.ndarray:
     if used + more <= len(array):
         return array
-    out = np.zeros(max(2 * len(array), used + more), array.dtype)
+    out = np.zeros(used + more + used // 4, array.dtype)
     out[:used] = array[:used]
     return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+#: Held while an encoder is used or forgets.
+_USE = threading.Lock()
 
 
-def encoder(path: str, keep_ids: bool) -> Encoder:
-    """One encoder a worker process for each tokenizer file."""
-    key = path, keep_ids
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, keep_ids)
-    return _ENCODERS[key]
+@contextmanager
+def encoder(path: str, keep_ids: bool) -> Iterator[Encoder]:
+    """One encoder a worker process for each tokenizer file.
+
+    Workers outlive a stage, so what the encoder remembers goes when no batch
+    came for ``IDLE`` seconds: the next stage gets the memory.
+    """
+    with _USE:
+        key = path, keep_ids
+        if key not in _ENCODERS:
+            _ENCODERS[key] = Encoder(path, keep_ids)
+        made = _ENCODERS[key]
+        made.uses += 1
+        yield made
+        timer = threading.Timer(IDLE, _rest, (made, made.uses))
+        timer.daemon = True
+        if made.timer:
+            made.timer.cancel()
+        made.timer = timer
+        timer.start()
+
+
+def _rest(made: Encoder, uses: int) -> None:
+    with _USE:
+        if made.uses == uses:
+            made.forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)

@@ -208,7 +208,8 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in joined(batches, ENCODE_BYTES):
-            ids, at = encoder(path, keep_ids=True).ids(batch.column(1), END_ID)
+            with encoder(path, keep_ids=True) as made:
+                ids, at = made.ids(batch.column(1), END_ID)
             n = np.diff(at)
             each = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), each)

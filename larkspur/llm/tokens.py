@@ -30,7 +30,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in joined(batches, ENCODE_BYTES):
-            counts = encoder(path, keep_ids=False).counts(batch.column(1))
+            with encoder(path, keep_ids=False) as made:
+                counts = made.counts(batch.column(1))
             columns = [batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

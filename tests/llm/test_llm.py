@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -63,6 +64,17 @@ def test_encoder_gives_the_library_s_ids(name, monkeypatch):
                 assert short.counts(batch).tolist() == [len(x) for x in want[part : part + 100]]
 
 
+def test_an_idle_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(encoding, "IDLE", 0.1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for _ in range(2):
+        with encoding.encoder(path, False) as made:
+            assert made.counts(pa.array(["the house of words"])).tolist() == [4]
+        assert len(made.known) == 4
+        time.sleep(0.5)
+        assert len(made.known) == 0
+
+
 def test_unknown_tokenizers_get_whole_texts(tmp_path):
     rules = json.loads(encoding.load(public_tokenizers.path("byte_bpe_50k.json")).to_str())
     rules["normalizer"] = {"type": "Replace", "pattern": {"String": " "}, "content": "_"}
