@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import div, is_kind, micros, moment, rnd
 from larkspur.operators import serving
-from larkspur.operators.features import Layer
+from larkspur.operators.features import Layer, stored
 from larkspur.sources.retail import Retail
 
 #: The split, the sample of the coverage report, anchors of the baseline.
@@ -18,10 +18,20 @@ SPLIT, COVERAGE_USERS, CF_ANCHORS = 0.8, 300, 50
 
 
 def cutoff(retail: Retail, share: float = SPLIT) -> DataFrame:
-    """One row: the discrete percentile of the event times, exact to the microsecond."""
-    at = F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY us)")
-    rows = retail.interactions.select(micros(F.col("interaction_timestamp")).alias("us")).agg(at.cast("long").alias("us"))
-    return rows.select(F.timestamp_micros("us").cast("timestamp_ntz").alias("cutoff"))
+    """One row: the discrete percentile of the event times, exact to the microsecond.
+
+    Events are counted by hour, running counts tell the hour that holds the
+    percentile, and only its times are ranked: no task holds all times.
+    """
+    rows = retail.interactions.select(micros(F.col("interaction_timestamp")).alias("us")).where("us is not null").withColumn("hour", F.expr("us div 3600000000"))
+    hours = rows.groupBy("hour").agg(F.count("*").alias("n"))
+    until = W.orderBy("hour").rowsBetween(W.unboundedPreceding, 0)
+    hours = hours.select("hour", F.sum("n").over(until).alias("until"), "n", F.sum("n").over(W.partitionBy()).alias("total"))
+    place = F.greatest(F.ceil(F.col("total") * F.lit(share)), F.lit(1))
+    found = hours.where(F.col("until") >= place).orderBy("hour").limit(1).select("hour", (place - F.col("until") + F.col("n")).alias("place"))
+    inside = rows.join(F.broadcast(found), "hour").groupBy("us", "place").agg(F.count("*").alias("n"))  # found: one row
+    inside = inside.withColumn("until", F.sum("n").over(W.orderBy("us").rowsBetween(W.unboundedPreceding, 0))).where(F.col("until") >= F.col("place"))
+    return inside.agg(F.min("us").alias("us")).select(F.timestamp_micros("us").cast("timestamp_ntz").alias("cutoff"))
 
 
 def cutoff_time(retail: Retail) -> datetime:
@@ -55,15 +65,16 @@ def split_stats(layer: Layer) -> DataFrame:
 def popularity_baseline(layer: Layer, users: DataFrame, limit: int = 10) -> DataFrame:
     """The most popular active products that a user has not bought.
 
-    Only the first ``limit`` + (most purchases of any user) products of the
-    global order can be served, so the join with users stays narrow.
+    A user needs the first ``limit`` products of the global order and one more for
+    each product owned, so the join meets only those places.
     """
     owned = layer.user_product_features.where("has_purchased").select("user_id", "product_id").join(users.select("user_id"), "user_id", "left_semi")
-    most = owned.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"))
     order = W.orderBy(F.desc("decayed_engagement"), "product_id")
     active = layer.product_popularity.where("is_active").select("product_id", F.col("popularity_score").alias("score"), "decayed_engagement")
-    head = active.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(most)).where(F.col("place") <= F.col("most") + limit)
-    rows = users.select("user_id").crossJoin(F.broadcast(head.select("product_id", "score", "place"))).join(owned, ["user_id", "product_id"], "left_anti")
+    ranked = active.withColumn("place", F.row_number().over(order)).select("product_id", "score", "place")
+    own = owned.groupBy("user_id").agg(F.count("*").cast("int").alias("own"))
+    needed = users.select("user_id").join(own, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1), F.lit(limit) + F.coalesce("own", F.lit(0)))).alias("place"))
+    rows = needed.join(ranked, "place").join(owned, ["user_id", "product_id"], "left_anti")
     rank = F.row_number().over(W.partitionBy("user_id").orderBy("place"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= limit).select("user_id", "product_id", "score", "rank")
 
@@ -135,7 +146,7 @@ def metrics_by_tier(layer: Layer, strategy: str, k: int = 10, sample: int | None
 
 def run_evaluation(retail: Retail, ks: tuple[int, ...] = (5, 10), sample: int | None = None) -> DataFrame:
     """All strategies at the cutoff. The layer is a function of the clock, so nothing has to be restored."""
-    layer = Layer(retail, retail.behaviour_clock().with_as_of(cutoff_time(retail)))
+    layer = stored(Layer(retail, retail.behaviour_clock().with_as_of(cutoff_time(retail))))
     parts = [metrics_by_tier(layer, s, k, sample) for s in STRATEGIES for k in ks]
     out = parts[0]
     for part in parts[1:]:

@@ -6,6 +6,8 @@ user or product; the windows over all products sort the catalogue alone.
 
 from __future__ import annotations
 
+import hashlib
+import time
 from dataclasses import dataclass
 from datetime import timedelta
 from functools import cached_property
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from larkspur.context import Context
 from larkspur.functions.exprs import age_days, decay, div, is_kind, moment, rnd, weight
+from larkspur.sources.files import Snapshots, fingerprint, shared_dir
 from larkspur.sources.retail import Retail
 
 TREND_WEEKS = 16
@@ -27,7 +30,8 @@ def _kinds() -> list[Column]:
 
 @dataclass(frozen=True)
 class Layer:
-    """The relations of one clock, each built at most once and lazily."""
+    """The relations of one clock. Each is a plan, made at most once; :func:`refreshed`
+    gives a layer whose relations are files instead."""
 
     retail: Retail
     context: Context
@@ -200,3 +204,39 @@ class Layer:
         tier = F.when(n < int(self.context["cold_start_threshold"]), "cold").when(n < int(self.context["light_user_threshold"]), "light").otherwise("warm")
         counts = {x: F.coalesce(x, F.lit(0)).cast("long") for x in ("distinct_products", "total_interactions", "purchased_products", "distinct_categories")}
         return rows.withColumn("user_tier", tier).withColumns(counts)
+
+
+#: The relations that a refresh writes, each built from those before it, and the
+#: column that its point reads go by.
+RELATIONS = {
+    "user_product_features": "user_id",
+    "user_category_preferences": "user_id",
+    "product_popularity": "product_id",
+    "product_trend": "product_id",
+    "product_similarity": "product_a",
+}
+
+
+def refreshed(layer: Layer, snapshots: Snapshots) -> tuple[Layer, list[tuple[str, int, float]]]:
+    """Write the relations of ``layer`` and give the layer that reads them, and
+    (layer, rows_loaded, elapsed_seconds) of each. Readers of older versions go on."""
+    out, report = Layer(layer.retail, layer.context), []
+    for name, by in RELATIONS.items():
+        start = time.perf_counter()
+        out.__dict__[name] = snapshots.refresh(name, lambda n=name: getattr(out, n), by)
+        report.append((name, out.__dict__[name].count(), round(time.perf_counter() - start, 3)))
+    return out, report
+
+
+def stored(layer: Layer, anew: bool = False) -> Layer:
+    """The layer read from the shared folder, written first if these tables, clock and
+    settings have none yet, or if it is asked for ``anew``."""
+    spark, retail = layer.retail.spark, layer.retail
+    tables = [f"{retail.path}/{name}.parquet" for name in ("events", "orders", "lineitem", "customer", "nation", "part")]
+    told = f"{retail.path} {fingerprint(spark, tables)} {layer.context}"
+    snapshots = Snapshots(spark, f"{shared_dir(spark)}/layer-{hashlib.sha256(told.encode()).hexdigest()[:24]}")
+    if anew or any(snapshots.version(name) is None for name in RELATIONS):
+        return refreshed(layer, snapshots)[0]
+    out = Layer(retail, layer.context)
+    out.__dict__.update({name: snapshots.read(name) for name in RELATIONS})
+    return out

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import is_kind, moment, rnd, weight
-from larkspur.operators import evaluation
+from larkspur.operators import api, evaluation, search, serving
 from larkspur.operators.features import Layer
 
-USER, PRODUCT = 1, 7
+USER, PRODUCT, UNKNOWN = 1, 7, -1
 NEIGHBOURS_OF = (1, 2, 3, 5, 8, 13)
 
 
@@ -153,29 +153,49 @@ def weights_sum_to_one(layer: Layer) -> DataFrame:
     return layer.retail.spark.range(1).select(F.round(F.lit(total), 6).alias("total_weight"))
 
 
+def owned_leak(layer: Layer) -> DataFrame:
+    """Recommended products that the user owns."""
+    users = layer.retail.users
+    return _violations(serving.recommend(layer, users).join(serving.purchased(layer, users), ["user_id", "product_id"], "left_semi"))
+
+
+def inactive_served(layer: Layer) -> DataFrame:
+    """Recommended products that are not active."""
+    rows = serving.recommend(layer, layer.retail.users)
+    return _violations(rows.join(layer.retail.products.where("not is_active"), "product_id", "left_semi"))
+
+
 READS = [
+    ("b4_text_search", lambda layer: search.matches(layer, search.SAMPLE_QUERY), "behaviour"),
+    ("q_no_owned_leak", owned_leak, "stored"),
+    ("q_no_inactive", inactive_served, "stored"),
+    ("api_health", api.health, "stored"),
+    ("api_recommendations", lambda layer: api.recommendations(layer, USER), "stored"),
+    ("api_recommendations_unknown", lambda layer: api.recommendations(layer, UNKNOWN), "stored"),
+    ("api_similar", lambda layer: api.similar_products(layer, PRODUCT), "stored"),
+    ("api_search", lambda layer: api.search_products(layer, search.SAMPLE_QUERY), "stored"),
     ("b1_anchor_lookup", anchor_lookup, "behaviour"),
     ("b2_recent_demand", recent_demand, "behaviour"),
-    ("b3_neighbour_lookup", neighbour_lookup, "behaviour"),
+    ("b3_neighbour_lookup", neighbour_lookup, "stored"),
     ("b5_purchase_exclusion", purchase_exclusion, "behaviour"),
-    ("d_tier_counts", tier_counts, "behaviour"),
-    ("d_user_sample", user_sample, "behaviour"),
-    ("d_user_profile", user_card, "behaviour"),
-    ("d_category_prefs", category_prefs, "behaviour"),
+    ("d_tier_counts", tier_counts, "stored"),
+    ("d_user_sample", user_sample, "stored"),
+    ("d_user_profile", user_card, "stored"),
+    ("d_category_prefs", category_prefs, "stored"),
     ("d_purchase_history", purchase_history, "behaviour"),
-    ("d_product_card", product_card, "behaviour"),
-    ("d_popular_products", popular_products, "behaviour"),
+    ("d_product_card", product_card, "stored"),
+    ("d_popular_products", popular_products, "stored"),
     ("d_revenue_by_category", dashboard_categories, "ledger"),
     ("d_monthly_revenue", dashboard_months, "ledger"),
-    ("d_pipeline_state", pipeline_state, "behaviour"),
-    ("d_eval_pivot", eval_pivot, "replay"),
+    ("d_pipeline_state", pipeline_state, "stored"),
+    ("d_eval_pivot", eval_pivot, "stored replay"),
     ("q_order_totals", order_totals, "ledger"),
     ("q_purchase_has_order_line", purchase_has_order_line, "behaviour"),
     ("q_interaction_after_signup", interaction_after_signup, "behaviour"),
     ("q_weights_sum_to_one", weights_sum_to_one, "behaviour"),
-    ("q_similarity_symmetric", similarity_symmetric, "behaviour"),
-    ("q_similarity_range", similarity_range, "behaviour"),
-    ("q_no_self_neighbour", no_self_neighbour, "behaviour"),
-    ("q_support_floor", support_floor, "behaviour"),
-    ("q_affinity_sums_to_one", affinity_sums_to_one, "behaviour"),
+    ("q_similarity_symmetric", similarity_symmetric, "stored"),
+    ("q_similarity_range", similarity_range, "stored"),
+    ("q_no_self_neighbour", no_self_neighbour, "stored"),
+    ("q_support_floor", support_floor, "stored"),
+    ("q_affinity_sums_to_one", affinity_sums_to_one, "stored"),
 ]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.context import FUNNEL
 from larkspur.functions.exprs import age_days, div, is_kind, moment, month, month_index, pct, rnd
+from larkspur.functions.places import medians, rank_threshold
 from larkspur.operators.features import Layer
 
 
@@ -66,15 +67,28 @@ def monthly_revenue(layer: Layer) -> DataFrame:
 def average_order_value(layer: Layer) -> DataFrame:
     units = layer.retail.order_items.groupBy("order_id").agg(F.sum("quantity").alias("units"))
     rows = _orders(layer).join(units, "order_id", "left").groupBy(month("order_date").alias("month"))
-    rows = rows.agg(F.count("*").alias("orders"), F.sum("total_amount").alias("r"), F.median(_dbl("total_amount")).alias("m"), rnd(div(F.sum("units"), F.count("units")), 2).alias("average_basket_size"))
+    rows = rows.agg(F.count("*").alias("orders"), F.sum("total_amount").alias("r"), rnd(div(F.sum("units"), F.count("units")), 2).alias("average_basket_size"))
+    middle = medians(_orders(layer).select(month("order_date").alias("month"), "total_amount"), "month", "total_amount")
+    rows = rows.join(middle.withColumnRenamed("median", "m"), "month", "left")
     value = div("r", "orders")
     return rows.select("month", "orders", rnd(value, 2).alias("average_order_value"), rnd("m", 2).alias("median_order_value"), "average_basket_size", rnd(F.avg(value).over(W.partitionBy()), 2).alias("average_across_all_months"))
 
 
 def customer_ltv(layer: Layer, limit: int = 50) -> DataFrame:
+    """The most valuable customers. Their places among all follow from their places
+    in the list and from counts, so no window holds all customers."""
     rows = _orders(layer).join(layer.retail.users.select("user_id", "city"), "user_id").groupBy("user_id", "city")
     rows = rows.agg(F.count_distinct("order_id").alias("orders"), F.sum("total_amount").alias("r"), F.min("order_date").cast("date").alias("first_order"), F.max("order_date").cast("date").alias("last_order"), F.count("*").alias("n"))
-    rows = rows.select(
+    top = rows.orderBy(F.desc("r"), "user_id").limit(limit)
+    every = rows.agg(F.count("*").alias("all"))
+    ties = rows.join(F.broadcast(top.select("r").distinct()), "r").groupBy("r").agg(F.count("*").alias("ties"))  # limit values
+    top = top.join(F.broadcast(ties), "r").crossJoin(F.broadcast(every))
+    place, rank = F.row_number().over(W.orderBy(F.desc("r"), "user_id")), F.rank().over(W.orderBy(F.desc("r")))
+    smaller = F.col("all") - (rank - 1) - F.col("ties")
+    small, extra = F.floor(F.col("all") / 10), F.col("all") % 10
+    early = extra * (small + 1)
+    decile = F.when(place <= early, F.ceil(place / (small + 1))).otherwise(extra + F.ceil((place - early) / F.greatest(small, F.lit(1))))
+    return top.select(
         "user_id",
         "city",
         "orders",
@@ -83,10 +97,9 @@ def customer_ltv(layer: Layer, limit: int = 50) -> DataFrame:
         "first_order",
         "last_order",
         F.datediff("last_order", "first_order").alias("customer_lifespan_days"),
-        F.ntile(10).over(W.orderBy(F.desc("r"), "user_id")).alias("value_decile"),
-        rnd(F.percent_rank().over(W.orderBy("r")), 4).alias("value_percentile"),
-    )
-    return rows.orderBy(F.desc("lifetime_value"), "user_id").limit(limit)
+        decile.cast("int").alias("value_decile"),
+        rnd(F.coalesce(div(smaller, F.col("all") - 1), F.lit(0.0)), 4).alias("value_percentile"),
+    ).orderBy(F.desc("lifetime_value"), "user_id")
 
 
 def repeat_purchase_rate(layer: Layer) -> DataFrame:
@@ -173,32 +186,35 @@ def market_basket(layer: Layer, least_baskets: int = 2, limit: int = 25) -> Data
     return rows.limit(limit).select(F.col("ia").alias("product_a_id"), F.col("ib").alias("product_b_id"), "product_a", "product_b", "category_a", "category_b", "baskets_together", "support_pct", "confidence_a_to_b_pct", "confidence_b_to_a_pct", "lift")
 
 
-def _best_seller(layer: Layer, category: str | None = None) -> DataFrame:
+def _best_seller(layer: Layer, category: str | None = None, linked: bool = False) -> DataFrame:
+    """The best seller of all products or of a category; ``linked``: of those with neighbours."""
     rows = _lines(layer, "category_name")
+    if linked:
+        rows = rows.join(layer.product_similarity.select(F.col("product_a").alias("product_id")).distinct(), "product_id", "left_semi")
     if category is not None:
         rows = rows.where(F.col("category_name") == category)
     return rows.groupBy("product_id").agg(F.sum("revenue").alias("r")).orderBy(F.desc("r"), "product_id").limit(1).select("product_id")
 
 
-def top_seller_neighbours(layer: Layer, category: str | None = None, limit: int = 15) -> DataFrame:
+def top_seller_neighbours(layer: Layer, category: str | None = None, limit: int = 15, linked: bool = False) -> DataFrame:
     label = F.when(F.col("same_subcategory"), "substitute").when(F.col("same_category"), "complement in the same aisle").otherwise("cross category affinity")
     names = layer.retail.products
-    rows = layer.product_similarity.join(F.broadcast(_best_seller(layer, category).withColumnRenamed("product_id", "product_a")), "product_a")
+    rows = layer.product_similarity.join(F.broadcast(_best_seller(layer, category, linked).withColumnRenamed("product_id", "product_a")), "product_a")
     rows = rows.join(names.select(F.col("product_id").alias("product_a"), F.col("name").alias("source_product")), "product_a").join(names.select(F.col("product_id").alias("product_b"), F.col("name").alias("neighbour"), "category_name", "subcategory"), "product_b")
     rows = rows.withColumn("relationship", label).orderBy(F.desc("cosine_similarity"), "product_b").limit(limit)
     return rows.select("source_product", "neighbour", "category_name", "subcategory", "common_users", "cosine_similarity", "jaccard_similarity", "neighbour_rank", "relationship")
 
 
-def bought_x_not_y(layer: Layer, category: str = "ECONOMY", limit: int = 25) -> DataFrame:
-    """Buyers of a category's best seller who lack its nearest neighbour."""
-    x = _best_seller(layer, category)
+def bought_x_not_y(layer: Layer, category: str | None = None, limit: int = 25, linked: bool = False) -> DataFrame:
+    """Buyers of the best seller who lack its nearest neighbour; none if it has no neighbour."""
+    x = _best_seller(layer, category, linked)
     near = layer.product_similarity.join(F.broadcast(x.withColumnRenamed("product_id", "product_a")), "product_a").orderBy(F.desc("similarity_score"), "product_b").limit(1).select(F.col("product_b").alias("product_id"))
     name = layer.retail.products.select("product_id", "name")
     lines = _lines(layer)
     lacking = lines.join(F.broadcast(near), "product_id", "left_semi").select("user_id")
     rows = lines.join(F.broadcast(x.join(name, "product_id").withColumnRenamed("name", "bought_this")), "product_id").join(lacking, "user_id", "left_anti")
     rows = rows.groupBy("user_id", "bought_this").agg(F.count_distinct("order_id").alias("orders_with_anchor"), _dbl(F.sum("revenue")).alias("spend_on_anchor"))
-    not_this = F.broadcast(near.join(name, "product_id").agg(F.max("name").alias("but_not_this")))
+    not_this = F.broadcast(near.join(name, "product_id").select(F.col("name").alias("but_not_this")))  # one row
     rows = rows.crossJoin(not_this).join(layer.retail.users.select("user_id", "city"), "user_id")
     return rows.select("bought_this", "but_not_this", "user_id", "city", "orders_with_anchor", "spend_on_anchor").orderBy(F.desc("spend_on_anchor"), "user_id").limit(limit)
 
@@ -235,16 +251,21 @@ def rank_in_category(layer: Layer, limit: int = 200) -> DataFrame:
 
 def pareto(layer: Layer, limit: int = 100) -> DataFrame:
     rows = _lines(layer, "name", "category_name").groupBy("product_id", F.col("name").alias("product_name"), "category_name").agg(F.sum("revenue").alias("r"))
-    most = W.orderBy(F.desc("r"), "product_id")
-    total, place = _dbl(F.sum("r").over(W.partitionBy())), F.row_number().over(most)
-    rows = rows.select(place.alias("revenue_rank"), "product_id", "product_name", "category_name", _dbl("r").alias("revenue"), pct("r", total, 4).alias("pct_of_revenue"), pct(F.sum("r").over(most.rowsBetween(W.unboundedPreceding, 0)), total).alias("cumulative_pct_of_revenue"), pct(place, F.count("*").over(W.partitionBy())).alias("cumulative_pct_of_catalogue"))
-    return rows.orderBy("revenue_rank").limit(limit)
+    whole = rows.agg(_dbl(F.sum("r")).alias("total"), F.count("*").alias("all"))
+    top = rows.orderBy(F.desc("r"), "product_id").limit(limit).crossJoin(F.broadcast(whole))
+    most = W.orderBy(F.desc("r"), "product_id")  # of the list alone
+    place, running = F.row_number().over(most), F.sum("r").over(most.rowsBetween(W.unboundedPreceding, 0))
+    top = top.select(place.alias("revenue_rank"), "product_id", "product_name", "category_name", _dbl("r").alias("revenue"), pct("r", "total", 4).alias("pct_of_revenue"), pct(running, "total").alias("cumulative_pct_of_revenue"), pct(place, "all").alias("cumulative_pct_of_catalogue"))
+    return top.orderBy("revenue_rank")
 
 
 def top_decile_customers(layer: Layer, percentile: float = 0.90) -> DataFrame:
     rows = _orders(layer).groupBy("user_id").agg(F.count_distinct("order_id").alias("orders"), F.sum("total_amount").alias("r"))
-    rows = rows.withColumns({"p": F.percent_rank().over(W.orderBy("r")), "total": F.sum("r").over(W.partitionBy())}).where(F.col("p") >= percentile)
-    return rows.agg(F.count("*").alias("top_decile_customers"), _dbl(F.sum("r")).alias("top_decile_revenue"), pct(F.sum("r"), F.max("total")).alias("pct_of_all_revenue"), rnd(div(F.sum("r"), F.count("*")), 2).alias("average_revenue_per_customer"), rnd(F.avg("orders"), 2).alias("average_orders_per_customer"))
+    least = rank_threshold(rows, "r", percentile)
+    rows = rows.crossJoin(F.broadcast(least)).withColumn("in", F.col("r") >= F.col("least"))
+    top = lambda x: F.sum(F.when(F.col("in"), x))
+    n = F.count_if("in")
+    return rows.agg(n.alias("top_decile_customers"), _dbl(top(F.col("r"))).alias("top_decile_revenue"), pct(top(F.col("r")), F.sum("r")).alias("pct_of_all_revenue"), rnd(div(top(F.col("r")), n), 2).alias("average_revenue_per_customer"), rnd(div(top(F.col("orders")), n), 2).alias("average_orders_per_customer"))
 
 
 def conversion_funnel(layer: Layer) -> DataFrame:
@@ -325,8 +346,8 @@ ANALYTICS = [
     ("a10_trending_4w", trending_products, "behaviour"),
     ("a11_favourite_categories", favourite_categories, "behaviour"),
     ("a12_market_basket", market_basket, "ledger"),
-    ("a13_top_seller_neighbours", top_seller_neighbours, "behaviour"),
-    ("a14_bought_x_not_y", bought_x_not_y, "behaviour"),
+    ("a13_top_seller_neighbours", lambda layer: top_seller_neighbours(layer, linked=True), "stored"),
+    ("a14_bought_x_not_y", lambda layer: bought_x_not_y(layer, linked=True), "stored"),
     ("a15_consecutive_months", consecutive_months, "ledger"),
     ("a16_cohort_retention", cohort_retention, "ledger"),
     ("a17_rank_in_category", rank_in_category, "ledger"),

@@ -134,6 +134,14 @@ _CTES: dict[str, str] = {
       FROM served s CROSS JOIN pop p WHERE is_active AND NOT EXISTS (SELECT 1 FROM upf f WHERE f.user_id = s.user_id AND f.product_id = p.product_id AND has_purchased) QUALIFY rank <= 10""",
     "cfbase": f"""SELECT user_id, product_id, {_r("cf_score", 6)} AS score, row_number() OVER (PARTITION BY user_id ORDER BY {_r("cf_score", 6)} DESC, product_id) AS rank
       FROM cf c JOIN products p USING (product_id) WHERE is_active AND NOT EXISTS (SELECT 1 FROM upf f WHERE f.user_id = c.user_id AND f.product_id = c.product_id AND has_purchased) QUALIFY rank <= 10""",
+    "tokens": f"""SELECT *, {", ".join(f"list_filter(string_split_regex(lower({f}), '[^a-z0-9]+'), lambda t: t <> '') AS t_{f}" for f in ("name", "brand", "subcategory", "description"))} FROM products""",
+    "content": f"""SELECT s.product_id AS source_product_id, t.product_id, t.name AS product_name, t.category_name AS category, t.brand, t.price,
+        {_r("ln(1 + " + " + ".join(f"{w}::DOUBLE * len(list_filter(t.t_{f}, lambda x: list_contains(s.need, x)))" for f, w in (("name", 1.0), ("brand", 0.4), ("subcategory", 0.4), ("description", 0.2))) + ")", 6)} AS similarity_score,
+        CAST(0 AS BIGINT) AS common_users, 'content' AS similarity_basis, 'Similar catalogue entry, no purchase history yet' AS relationship
+      FROM (SELECT *, t_name || t_brand || t_subcategory AS need FROM tokens
+        WHERE product_id NOT IN (SELECT product_a FROM sim JOIN products p ON p.product_id = product_b WHERE p.is_active)) s
+      JOIN (SELECT *, t_name || t_brand || t_subcategory || t_description AS have FROM tokens WHERE is_active) t ON t.product_id <> s.product_id AND list_has_all(t.have, s.need)
+      QUALIFY row_number() OVER (PARTITION BY s.product_id ORDER BY similarity_score DESC, t.product_id) <= 10""",
     "hybrid": "SELECT user_id, product_id, recommendation_score AS score, recommendation_rank AS rank FROM recs",
 }
 
@@ -162,14 +170,14 @@ def _sql(body: str, clock: str = "behaviour", users: str = "users", **more: str)
     return ("WITH " + ",\n".join(f"{n} AS ({named[n]})" for n in order) + "\n" if order else "") + body
 
 
-def _metrics(table: str, strategy: str) -> str:
+def _metrics(table: str, strategy: str, k: int = 10) -> str:
     means = ", ".join(f"{_r(f'avg({x})', 4)} AS {x}" for x in ("precision", "recall", "hit_rate", "ndcg", "served"))
-    return f"""SELECT '{strategy}' AS strategy, 10 AS k, coalesce(user_tier, 'overall') AS tier, count(*) AS users, {means}
-      FROM (SELECT e.user_id, user_tier, coalesce(hits, 0) / 10.0::DOUBLE AS precision, coalesce(hits, 0)::DOUBLE / held_out_purchases AS recall,
+    return f"""SELECT '{strategy}' AS strategy, {k} AS k, coalesce(user_tier, 'overall') AS tier, count(*) AS users, {means}
+      FROM (SELECT e.user_id, user_tier, coalesce(hits, 0) / {k}.0::DOUBLE AS precision, coalesce(hits, 0)::DOUBLE / held_out_purchases AS recall,
           CASE WHEN coalesce(hits, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_rate, CASE WHEN hits IS NULL THEN 0.0::DOUBLE ELSE 1 END AS served,
-          coalesce(dcg, 0) / list_sum(list_transform(range(1, least(held_out_purchases, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg
+          coalesce(dcg, 0) / list_sum(list_transform(range(1, least(held_out_purchases, {k}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg
         FROM evalu e LEFT JOIN (SELECT r.user_id, count(t.user_id) AS hits, sum(CASE WHEN t.user_id IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) AS dcg
-          FROM {table} r LEFT JOIN truth t ON t.user_id = r.user_id AND t.product_id = r.product_id WHERE rank <= 10 GROUP BY 1) m ON m.user_id = e.user_id) GROUP BY ROLLUP (user_tier)"""
+          FROM {table} r LEFT JOIN truth t ON t.user_id = r.user_id AND t.product_id = r.product_id WHERE rank <= {k} GROUP BY 1) m ON m.user_id = e.user_id) GROUP BY ROLLUP (user_tier)"""
 
 
 def _coverage(table: str, strategy: str) -> str:
@@ -179,13 +187,21 @@ def _coverage(table: str, strategy: str) -> str:
 
 
 _NAMES = {"popularity": "popbase", "collaborative": "cfbase", "hybrid": "hybrid"}
+_LAYER = {"user_product_features": "upf", "user_category_preferences": "ucp", "product_popularity": "pop", "product_trend": "trend", "product_similarity": "sim"}
 _SOME = "(SELECT user_id FROM evalu ORDER BY user_id LIMIT 300)"
 _REV = "CAST(sum(revenue) AS DOUBLE)"
 _MON = "CAST(date_trunc('month', order_date) AS DATE)"
 _CARD = "product_id, product_name, category_name, brand, price, purchase_count, view_count, smoothed_rating, popularity_score, demand_tier"
+_LINKED = "WHERE product_id IN (SELECT product_a FROM sim)"
 _BEST = "SELECT product_id FROM lines {w} GROUP BY 1 ORDER BY sum(revenue) DESC, product_id LIMIT 1"
 
 
+_COLLABORATIVE = """SELECT product_a AS source_product_id, p.product_id, p.name AS product_name, p.category_name AS category, p.brand, p.price, similarity_score, common_users, 'collaborative' AS similarity_basis,
+            CASE WHEN same_subcategory AND p.brand = s.brand THEN 'Same range from ' || p.brand WHEN same_subcategory THEN 'Direct alternative' WHEN same_category THEN 'Frequently bought alongside'
+              WHEN jaccard_similarity >= 0.1 THEN 'Shoppers pair these up' ELSE 'Discovered through shared audience' END AS relationship
+          FROM sim JOIN products p ON p.product_id = product_b JOIN products s ON s.product_id = product_a WHERE p.is_active QUALIFY row_number() OVER (PARTITION BY product_a ORDER BY similarity_score DESC, p.product_id) <= 10"""
+
+
 def _ledger() -> dict[str, str]:
     return {
         "a01_top_products_revenue": f"""SELECT product_id, name AS product_name, category_name, brand, count(DISTINCT order_id) AS orders, sum(quantity)::BIGINT AS units_sold, {_REV} AS revenue,
@@ -265,6 +281,11 @@ def _behaviour() -> dict[str, str]:
     words = ("bolt", "gear", "red", "small", "widget")
     occurs = " + ".join(f"len(list_filter(string_split(x_{f}, ' '), lambda t: t = '{w}')) * {v}::DOUBLE" for f, v in fields for w in words)
     has = lambda p: "(" + " OR ".join(f"contains(x_{f}, ' {p} ')" for f, _ in fields) + ")"
+    matched = f"""SELECT product_id, name AS product_name, category_name AS category, brand, price, {_r(f"ln(1 + {occurs})", 6)} AS text_rank
+            FROM (SELECT *, {", ".join(f"{text(f)} AS x_{f}" for f, _ in fields)} FROM products)
+            WHERE is_active AND (({has("small")} AND {has("bolt")}) OR {has("red widget")} OR {has("gear")}) AND NOT {has("hot")}"""
+    searched = f"""SELECT product_id, product_name, category, brand, price, text_rank, {_r(_mm("text_rank", "()", 1) + " * 0.7::DOUBLE + " + _mm("popularity_score", "()", 1) + " * 0.3::DOUBLE", 6)} AS blended_score
+          FROM ({matched}) JOIN (SELECT product_id, popularity_score FROM pop) USING (product_id) ORDER BY blended_score DESC, product_id LIMIT 20"""
     return {
         "a08_most_viewed": f"""SELECT product_id, name AS product_name, category_name, {act("view")} AS views, count(DISTINCT user_id) FILTER (interaction_type = 'view') AS unique_viewers, {act("cart")} AS carts, {act("purchase")} AS purchases,
             {_r(f"CAST({act('view')} AS DOUBLE) / nullif(count(DISTINCT user_id) FILTER (interaction_type = 'view'), 0)", 2)} AS views_per_viewer FROM log JOIN products USING (product_id) GROUP BY 1, 2, 3 ORDER BY views DESC, product_id LIMIT 25""",
@@ -281,10 +302,10 @@ def _behaviour() -> dict[str, str]:
           FROM (SELECT user_id, list({{'category_name': category_name, 'interaction_score': interaction_score}} ORDER BY interaction_score DESC, category_id) AS c, sum(interaction_score) AS t FROM ucp GROUP BY 1) JOIN users USING (user_id) ORDER BY user_id LIMIT 50""",
         "a13_top_seller_neighbours": f"""SELECT s.name AS source_product, p.name AS neighbour, p.category_name, p.subcategory, common_users, cosine_similarity, jaccard_similarity, neighbour_rank,
             CASE WHEN same_subcategory THEN 'substitute' WHEN same_category THEN 'complement in the same aisle' ELSE 'cross category affinity' END AS relationship
-          FROM sim JOIN products s ON s.product_id = product_a JOIN products p ON p.product_id = product_b WHERE product_a = ({_BEST.format(w="")}) ORDER BY cosine_similarity DESC, product_b LIMIT 15""",
+          FROM sim JOIN products s ON s.product_id = product_a JOIN products p ON p.product_id = product_b WHERE product_a = ({_BEST.format(w=_LINKED)}) ORDER BY cosine_similarity DESC, product_b LIMIT 15""",
         "a14_bought_x_not_y": f"""SELECT (SELECT name FROM products WHERE product_id = ax.product_id) AS bought_this, (SELECT name FROM products WHERE product_id = ay.product_b) AS but_not_this, user_id, city, count(DISTINCT order_id) AS orders_with_anchor, {_REV} AS spend_on_anchor
-          FROM lines JOIN ({_BEST.format(w="WHERE category_name = 'ECONOMY'")}) ax USING (product_id) JOIN users USING (user_id) LEFT JOIN (SELECT product_b FROM sim WHERE product_a = ({_BEST.format(w="WHERE category_name = 'ECONOMY'")}) ORDER BY similarity_score DESC, product_b LIMIT 1) ay ON true
-          WHERE user_id NOT IN (SELECT l2.user_id FROM lines l2 JOIN (SELECT product_b FROM sim WHERE product_a = ({_BEST.format(w="WHERE category_name = 'ECONOMY'")}) ORDER BY similarity_score DESC, product_b LIMIT 1) z ON z.product_b = l2.product_id)
+          FROM lines JOIN ({_BEST.format(w=_LINKED)}) ax USING (product_id) JOIN users USING (user_id) LEFT JOIN (SELECT product_b FROM sim WHERE product_a = ({_BEST.format(w=_LINKED)}) ORDER BY similarity_score DESC, product_b LIMIT 1) ay ON true
+          WHERE user_id NOT IN (SELECT l2.user_id FROM lines l2 JOIN (SELECT product_b FROM sim WHERE product_a = ({_BEST.format(w=_LINKED)}) ORDER BY similarity_score DESC, product_b LIMIT 1) z ON z.product_b = l2.product_id)
           GROUP BY 1, 2, 3, 4 ORDER BY spend_on_anchor DESC, user_id LIMIT 25""",
         "a20_conversion_funnel": f"""SELECT funnel_stage, interaction_type, events, users, products, lag(events) OVER w AS previous_stage_events, {_pct("events", "lag(events) OVER w")} AS stage_conversion_pct, {_pct("events", "first_value(events) OVER w")} AS pct_of_top_of_funnel
           FROM (SELECT list_position(['view', 'wishlist', 'cart', 'purchase'], interaction_type) AS funnel_stage, interaction_type, count(*) AS events, count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS products FROM log GROUP BY 1, 2) WINDOW w AS (ORDER BY funnel_stage)""",
@@ -294,17 +315,18 @@ def _behaviour() -> dict[str, str]:
         "product_trend": "SELECT * FROM trend",
         "product_similarity": "SELECT * FROM sim",
         "user_recommendation_profile": "SELECT * FROM profile",
+        "layer_refresh": " UNION ALL ".join(f"SELECT '{name}' AS layer, count(*) AS rows_loaded FROM {table}" for name, table in _LAYER.items()),
         "trending_products": "SELECT * FROM hot ORDER BY trending_score DESC, product_id LIMIT 10",
         "recommendations": "SELECT * FROM recs",
-        "similar_products": """SELECT product_a AS source_product_id, p.product_id, p.name AS product_name, p.category_name AS category, p.brand, p.price, similarity_score, common_users, 'collaborative' AS similarity_basis,
-            CASE WHEN same_subcategory AND p.brand = s.brand THEN 'Same range from ' || p.brand WHEN same_subcategory THEN 'Direct alternative' WHEN same_category THEN 'Frequently bought alongside'
-              WHEN jaccard_similarity >= 0.1 THEN 'Shoppers pair these up' ELSE 'Discovered through shared audience' END AS relationship
-          FROM sim JOIN products p ON p.product_id = product_b JOIN products s ON s.product_id = product_a WHERE p.is_active QUALIFY row_number() OVER (PARTITION BY product_a ORDER BY similarity_score DESC, p.product_id) <= 10""",
-        "search_products": f"""SELECT product_id, product_name, category, brand, price, text_rank, {_r(_mm("text_rank", "()", 1) + " * 0.7::DOUBLE + " + _mm("popularity_score", "()", 1) + " * 0.3::DOUBLE", 6)} AS blended_score
-          FROM (SELECT product_id, name AS product_name, category_name AS category, brand, price, {_r(f"ln(1 + {occurs})", 6)} AS text_rank
-            FROM (SELECT *, {", ".join(f"{text(f)} AS x_{f}" for f, _ in fields)} FROM products)
-            WHERE is_active AND (({has("small")} AND {has("bolt")}) OR {has("red widget")} OR {has("gear")}) AND NOT {has("hot")}) JOIN (SELECT product_id, popularity_score FROM pop) USING (product_id)
-          ORDER BY blended_score DESC, product_id LIMIT 20""",
+        "similar_products": f"{_COLLABORATIVE} UNION ALL SELECT * FROM content",
+        "similar_products_content": "SELECT * FROM content",
+        "api_similar": f"SELECT * FROM ({_COLLABORATIVE} UNION ALL SELECT * FROM content) WHERE source_product_id = 7",
+        "api_health": "SELECT 'ok' AS status, 'production' AS pipeline_mode, as_of AS pipeline_as_of, (SELECT count(*) FROM sim) AS similarity_pairs, (SELECT count(*) FROM products WHERE is_active) AS products FROM clock",
+        "q_no_owned_leak": "SELECT count(*) AS violations FROM recs JOIN owned USING (user_id, product_id)",
+        "q_no_inactive": "SELECT count(*) AS violations FROM recs JOIN products USING (product_id) WHERE NOT is_active",
+        "b4_text_search": f"SELECT product_id, product_name AS name, text_rank AS rank FROM ({matched}) ORDER BY rank DESC, product_id LIMIT 20",
+        "api_search": f"SELECT * EXCLUDE (text_rank) FROM ({searched})",
+        "search_products": searched,
         "b1_anchor_lookup": f"SELECT product_id, CAST(sum({_W}) AS BIGINT) AS score FROM log WHERE user_id = 1 GROUP BY 1 ORDER BY score DESC, product_id LIMIT 50",
         "b2_recent_demand": f"SELECT count(*) AS events, {act('purchase')} AS purchases, count(DISTINCT user_id) AS users FROM log WHERE product_id = 7 AND interaction_timestamp >= (SELECT as_of FROM clock) - INTERVAL 28 DAY",
         "b3_neighbour_lookup": f"SELECT product_b, {_r('sum(CAST(similarity_score AS DECIMAL(18,6)))', 6)} AS score FROM sim WHERE product_a IN (1, 2, 3, 5, 8, 13) GROUP BY 1 ORDER BY score DESC, product_b LIMIT 100",
@@ -342,6 +364,14 @@ def all_sql() -> dict[str, str]:
         "popularity_baseline": _sql("SELECT * FROM popbase", "replay", "evalu"),
         "cf_baseline": _sql("SELECT * FROM cfbase", "replay", "evalu"),
     }
+    for user, name in ((1, "api_recommendations"), (-1, "api_recommendations_unknown")):
+        out[name] = _sql("SELECT recs.*, coalesce(user_tier, 'unknown') AS user_tier FROM recs LEFT JOIN profile USING (user_id)", users=f"(SELECT CAST({user} AS BIGINT) AS user_id)")
+    every = [_metrics(table, strategy, k) for strategy, table in _NAMES.items() for k in (5, 10)]
+    out["run_evaluation"] = _sql(" UNION ALL ".join(every), "replay", "evalu")
+    names = ("precision", "recall", "hit_rate", "ndcg", "served")
+    rows = " UNION ALL ".join(f"SELECT strategy, unnest({list(names)}) AS metric, unnest([{', '.join(names)}]) AS value FROM ({_metrics(table, strategy)}) WHERE tier = 'overall'" for strategy, table in _NAMES.items())
+    columns = ", ".join(f"max(value) FILTER (strategy = '{strategy}') AS {strategy}" for strategy in _NAMES)
+    out["d_eval_pivot"] = _sql(f"SELECT metric, {columns} FROM ({rows}) GROUP BY metric", "replay", "evalu")
     for strategy, table in _NAMES.items():
         out[f"coverage_report_{strategy}"] = _sql(_coverage(table, strategy), "replay", _SOME)
         out[f"metrics_by_tier_{strategy}"] = _sql(_metrics(table, strategy), "replay", "evalu")

@@ -52,6 +52,11 @@ class Retail:
         out = lines.agg(F.sum("l_quantity").cast("long").alias("quantity"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("revenue"))
         return out.withColumn("unit_price", F.col("revenue").cast("double") / F.col("quantity"))
 
+    @cached_property
+    def order_lines(self) -> DataFrame:
+        """Order and product of each line, as they are."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
+
     @cached_property
     def ratings(self) -> DataFrame:
         """The latest rating of a user for a product."""

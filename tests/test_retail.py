@@ -6,10 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import evaluation, search, serving
-from larkspur.operators.features import Layer
+from larkspur.functions.places import medians, rank_threshold
+from larkspur.operators import api, evaluation, search, serving
+from larkspur.operators.features import RELATIONS, Layer, refreshed, stored
 from larkspur.plans import registry
-from larkspur.sources.files import read_csv
+from larkspur.sources.files import Snapshots, read_csv, write_csv, write_report
 from larkspur.sources.retail import Retail
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def layer(spark):
-    return registry.behaviour(spark, SF)
+    return stored(registry.behaviour(spark, SF))
 
 
 def test_shelves_hold_unowned_active_products(layer):
@@ -68,3 +69,95 @@ def test_clock_is_a_second_after_the_last_event(spark):
     retail = Retail(spark, SF)
     last = retail.interactions.agg(F.max("interaction_timestamp")).first()[0]
     assert retail.behaviour_clock().as_of == last + timedelta(seconds=1)
+
+
+def test_refresh_replaces_versions_without_disturbing_readers(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    shelf = Snapshots(spark, root)
+    assert shelf.version("t") is None
+    old = shelf.refresh("t", lambda: spark.range(3).withColumnRenamed("id", "x"), "x")
+    shelf.refresh("t", lambda: spark.range(5).withColumnRenamed("id", "x"), "x")
+    assert (old.count(), Snapshots(spark, root).read("t").count()) == (3, 5) and shelf.bytes("t") > 0
+    shelf.clean("t")
+    assert shelf.read("t").count() == 5 and len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 1
+
+
+def test_a_refreshed_layer_serves_what_the_plan_does(spark, layer, tmp_path):
+    plain = registry.behaviour(spark, SF)
+    made, report = refreshed(plain, Snapshots(spark, f"file://{tmp_path}"))
+    assert [name for name, *_ in report] == list(RELATIONS) and all(rows == getattr(plain, name).count() for name, rows, _ in report)
+    rows = lambda x: sorted(map(str, serving.trending(x, 50).collect()))
+    assert rows(made) == rows(plain) == rows(layer)
+
+
+def test_users_without_interactions_share_shelves_but_not_what_they_own(layer):
+    users = layer.retail.users
+    rows = {}
+    for r in serving.recommend(layer, users).collect():
+        rows.setdefault(r["user_id"], []).append((r["recommendation_rank"], r["product_id"], r["recommendation_score"]))
+    assert all([k for k, *_ in sorted(v)] == list(range(1, len(v) + 1)) for v in rows.values()) and len(rows) == users.count()
+    some = sorted(rows)[:: max(1, len(rows) // 3)]
+    for user in some:  # alone, a user gets what the batch gives
+        alone = serving.recommend(layer, users.where(F.col("user_id") == user)).collect()
+        assert sorted((r["recommendation_rank"], r["product_id"], r["recommendation_score"]) for r in alone) == sorted(rows[user])
+    assert len({tuple(p for _, p, _ in sorted(v)) for v in rows.values()}) > 1
+
+
+def test_order_statistics_match_sorting(spark):
+    rows = [(g, float(v)) for g, n in ((1, 1), (2, 2), (3, 37), (4, 200)) for v in [(i * 7919) % 5000 // 3 * 3 for i in range(n)]]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for r in medians(df, "g", "v").collect():
+        mine = sorted(v for g, v in rows if g == r["g"])
+        assert r["median"] == (mine[(len(mine) - 1) // 2] + mine[len(mine) // 2]) / 2
+    values = sorted(v for _, v in rows)
+    for share in (0.0, 0.5, 0.9, 0.999, 1.0):
+        ranks = {v: sum(w < v for w in values) / (len(values) - 1) for v in values}
+        fit = [v for v in values if ranks[v] >= share]
+        assert rank_threshold(df, "v", share).first()["least"] == (min(fit) if fit else None)
+
+
+def test_cutoff_is_the_discrete_percentile(spark):
+    retail = Retail(spark, SF)
+    times = sorted(r[0] for r in retail.interactions.select("interaction_timestamp").collect())
+    assert evaluation.cutoff_time(retail) == times[max(0, math.ceil(0.8 * len(times)) - 1)]
+
+
+def test_similar_products_are_ordered_and_fall_back_to_content(layer):
+    rows = search.similar(layer, 10).collect()
+    basis = {}
+    for r in rows:
+        assert r["source_product_id"] != r["product_id"]
+        basis.setdefault(r["source_product_id"], []).append((r["similarity_basis"], r["similarity_score"]))
+    assert {b for v in basis.values() for b, _ in v} == {"collaborative", "content"}
+    assert all(len({b for b, _ in v}) == 1 and len(v) <= 10 for v in basis.values())
+
+
+def test_search_finds_a_product_by_its_name(layer):
+    one = layer.retail.products.where("is_active").orderBy("product_id").first()
+    assert one["product_id"] in {r["product_id"] for r in search.search(layer, f'"{one["name"]}"', 100).collect()}
+
+
+def test_trending_obeys_its_limit_and_order(layer):
+    for n in (1, 5, 25):
+        scores = [r["trending_score"] for r in serving.trending(layer, n).collect()]
+        assert len(scores) == n and scores == sorted(scores, reverse=True)
+
+
+def test_requests_tell_bad_input(layer, tmp_path):
+    assert {r["user_tier"] for r in api.recommendations(layer, -5).collect()} == {"unknown"}
+    with pytest.raises(KeyError):
+        api.similar_products(layer, -5)
+    for bad in (lambda: api.search_products(layer, "x"), lambda: api.search_products(layer, "bolt", 0), lambda: api.recommendations(layer, 1, 101)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(FileNotFoundError):
+        api.evaluation(str(tmp_path / "none.json"))
+    write_report({"k": 10}, str(tmp_path / "report.json"))
+    assert api.evaluation(str(tmp_path / "report.json")) == {"k": 10}
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a, b"), (2, None)], "k int, v string")
+    for _ in range(2):
+        write_csv(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "t"), "k int, v string").collect())) == [(1, "a, b"), (2, None)]
