@@ -3,8 +3,10 @@
 The metric is the angle. Pivots partition the vectors into cells of the nearest
 pivot. If x (home h) and y (home c) are within the angle r, the triangle
 inequality gives angle(x, p_c) <= angle(x, p_h) + 2r and angle(x, p_c) <=
-radius(c) + r; where both hold, x also goes to cell c, for c < h only, so each
-pair meets once. Cells are joined independently, in blocks of bounded size.
+radius(c) + r. y lies on p_c's side of the plane between p_h and p_c, so by chords
+x is no farther from that plane than from y: (|x p_c|^2 - |x p_h|^2) / (2 |p_h p_c|)
+<= the chord of r. Where all three hold, x also goes to cell c, for c < h only, so
+each pair meets once. Cells are joined independently, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import components, prepare, stored
+from larkspur.llm.common import Steps, components, prepare
 
 COSINE = 0.9
 #: Vectors of a cell in the mean, vectors of a block, and pivots at most.
 CELL, BLOCK, PIVOTS = 2048, 2048, 4096
+#: Rows of an Arrow batch of vectors that go to several cells.
+SLICE = 4096
 _ROWS = 256
 _EPS = 1e-6
 
@@ -92,7 +96,7 @@ def _join_block(cosine: float):
     return run
 
 
-def range_join(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def range_join(classes: DataFrame, cosine: float, steps: Steps) -> DataFrame:
     """id, links, root: for distinct vectors (id, n, v) the links found in each
     block, each weighing ``n``, and another id that is connected with it there.
 
@@ -125,19 +129,28 @@ def range_join(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a.argmin(axis=1), pa.int32()), pa.array(a.min(axis=1))], names=["id", "n", "v", "width", "home", "angle"])
 
     kind = dict(classes.dtypes)["v"]
-    placed = stored(sized.select("id", "n", "v", "width").mapInArrow(homes, f"id long, n long, v {kind}, width int, home int, angle double"), "homes")
+    placed = steps.write(sized.select("id", "n", "v", "width").mapInArrow(homes, f"id long, n long, v {kind}, width int, home int, angle double"), "homes")
     radii = {(r["width"], r["home"]): (r["radius"], r["held"]) for r in placed.groupBy("width", "home").agg(F.max("angle").alias("radius"), F.count("id").alias("held")).collect()}
 
+    chord = 2 * math.sin(reach / 2)
+
     def guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, a in by_width(batch):
                 width, home = part.column("width")[0].as_py(), part.column("home").to_numpy()
                 radius = np.array([radii.get((width, c), (-9.0, 0))[0] for c in range(a.shape[1])])
-                near = (a <= a[np.arange(len(a)), home][:, None] + 2 * reach + _EPS) & (a <= radius + reach + _EPS)
+                own = a[np.arange(len(a)), home][:, None]
+                near = (a <= own + 2 * reach + _EPS) & (a <= radius + reach + _EPS)
+                p = pivots.get(width, np.eye(1, width))
+                apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
+                near &= 2 * np.cos(own) - 2 * np.cos(a) <= 2 * apart * (chord + _EPS) + _EPS
+                near[np.arange(len(a)), home] = True
                 near &= np.arange(a.shape[1])[None, :] <= home[:, None]
                 row, cell = np.nonzero(near)
-                some = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in ("id", "n", "v", "width")), pa.array(cell, pa.int32()), pa.array(cell != home[row])], names=["id", "n", "v", "width", "cell", "guest"])
+                for top in range(0, len(row), SLICE):  # a vector may go to every cell
+                    r, c = row[top : top + SLICE], cell[top : top + SLICE]
+                    some = part.take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([*(some.column(k) for k in ("id", "n", "v", "width")), pa.array(c, pa.int32()), pa.array(c != home[r])], names=["id", "n", "v", "width", "cell", "guest"])
 
     spread = placed.mapInArrow(guests, f"id long, n long, v {kind}, width int, cell int, guest boolean")
     counts = spread.groupBy("width", "cell").agg(F.count_if("guest").alias("g"), F.count_if(~F.col("guest")).alias("h"))
@@ -167,13 +180,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), usable(vector, key).alias("ok"))
     good = rows.where("ok").select("vec_id", "v")
     classes = good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("vec_id").alias("n"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "least", "n", "v"), "classes")
-    found = stored(range_join(classes.select("id", "n", "v"), cosine), "links")
-    linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = classes.select("id", "least").join(joined, "id").groupBy("component").agg(F.min("least").alias("component_id"))
-    out = classes.join(linked, "id", "left").join(joined.join(named, "component").select("id", "component_id"), "id", "left")
-    out = out.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    with Steps(vectors.sparkSession) as steps:
+        classes = steps.write(classes.select(F.monotonically_increasing_id().alias("id"), "least", "n", "v"), "classes")
+        found = steps.write(range_join(classes.select("id", "n", "v"), cosine, steps), "links")
+        linked = found.groupBy("id").agg(F.sum("links").alias("links"))
+        joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), steps=steps)
+        named = classes.select("id", "least").join(joined, "id").groupBy("component").agg(F.min("least").alias("component_id"))
+        out = classes.join(linked, "id", "left").join(joined.join(named, "component").select("id", "component_id"), "id", "left")
+        out = out.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+        out = steps.keep(steps.write(out, "named"))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     every = good.join(out, "v").select("vec_id", "n_links", "component_id").unionByName(alone)
     return every.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
