@@ -19,8 +19,6 @@ from larkspur.llm.common import prepare, shared_dir
 
 #: Verdict of a url that no rule fits.
 DEFAULT = "allow"
-#: Bytes of an index that is sent to every executor; greater lists go by join.
-INDEX_BYTES = 256 << 20
 
 
 def host_path(url: str = "url") -> tuple[Column, Column]:
@@ -126,13 +124,11 @@ def judge(pages: DataFrame, rules: dict[str, str], default: str = DEFAULT) -> Da
     which no rule fits. Other columns are not read, repeated rows stay, an empty
     table or an empty list of rules is no special case.
 
-    The index goes to the executors as a file while it is under ``INDEX_BYTES``;
-    use :func:`judge_by_join` beyond that.
+    A list that the driver holds as a dictionary goes to the executors as a file;
+    a list that is a table goes by :func:`judge_by_join`.
     """
     spark = prepare(pages.sparkSession)
     index, shapes = build(rules)
-    if len(index) > INDEX_BYTES:
-        return judge_by_join(pages, spark.createDataFrame(list(rules.items()), "rule string, verdict string"), default)
     name = publish(spark, index)
     host, path = host_path()
 
@@ -149,23 +145,25 @@ def judge(pages: DataFrame, rules: dict[str, str], default: str = DEFAULT) -> Da
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
-    """The same for a list (rule, verdict) of any size: probes joined with rules.
+    """The same for a table (rule, verdict) of any size, by joins.
 
-    Only (row, fitting rule) pairs come back, at most one a shape, and the
-    longest is taken per row. Shapes are read from the rules.
+    A page's host suffixes find the lengths of the paths that rules of that host
+    have (a row a host, so a hot host's pages can be split), and host with a path
+    prefix of such a length finds the rule. Rows with a null rule or verdict, or
+    without a slash, are no rules; of a rule that repeats the least verdict holds.
     """
     prepare(pages.sparkSession)
     host, path = host_path()
-    slash = F.locate("/", "rule")
-    shape = F.struct(F.regexp_count(F.substring_index("rule", "/", 1), F.lit(r"\.")) + 1, F.length("rule") - slash + 1)
-    shapes = Shapes(tuple(sorted((r[0][0], r[0][1]) for r in rules.select(shape).distinct().collect())))
-    spread = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"))
-
-    @F.udf("array<string>")
-    def tried(h: str, p: str) -> list[str]:
-        return probes(h, p, shapes)
-
-    probed = spread.select("row", "page_id", "host", "path", F.explode_outer(tried("host", "path")).alias("rule"))
-    joined = probed.join(rules, "rule", "left")
-    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("rule"), "rule", "verdict")))
-    return joined.groupBy("row", "page_id", "host", "path").agg(best.alias("b")).select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    at = F.locate("/", "rule")
+    known = rules.where("verdict is not null").withColumn("at", at).where("at > 0").groupBy("rule", "at").agg(F.min("verdict").alias("verdict"))
+    by_host = known.groupBy(F.substr("rule", F.lit(1), F.col("at") - 1).alias("suffix")).agg(F.collect_set(F.length("rule") - F.col("at") + 1).alias("lengths"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"))
+    labels = F.split("host", r"\.")
+    n = F.size(labels)
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, k, n), "."))
+    met = rows.withColumn("suffix", F.explode(suffixes)).join(by_host, "suffix")
+    fitting = F.filter("lengths", lambda k: k <= F.length("path"))
+    tried = met.withColumn("k", F.explode(fitting)).withColumn("rule", F.concat("suffix", F.substr("path", F.lit(1), F.col("k"))))
+    best = tried.join(known, "rule").groupBy("row").agg(F.max(F.struct(F.length("rule"), "rule", "verdict")).alias("b"))
+    out = rows.join(best, "row", "left")
+    return out.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
