@@ -103,6 +103,71 @@ def _header(raw: bytes) -> Header | None:
     return Header(version, layer, not raw[1] & 1, kbits, rate, size, samples, raw[3] >> 6 == 3)
 
 
+#: Bits of the allocation of each subband of layer II, by table.
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def allocation_of(h: Header) -> tuple[int, ...]:
+    """Bits of the allocation of each subband, layers I and II."""
+    if h.layer == 1:
+        return (4,) * 32
+    if h.version != 3:
+        return ALLOCATION["low"]
+    each = h.kbits if h.mono else h.kbits // 2
+    if 56 <= each <= 80 or h.rate == 48000 and each >= 56:
+        return ALLOCATION["a"]
+    if each >= 96:
+        return ALLOCATION["b"]
+    return ALLOCATION["d" if h.rate == 32000 else "c"]
+
+
+def checked_bits(data: bytes, at: int, h: Header) -> tuple[int, int]:
+    """The bits after the checksum that it covers, as a number, and how many they are.
+
+    Layer I: the allocation; layer II: allocation and the selection of scale
+    factors of the subbands that have any; layer III: the side information.
+    Subbands from the bound on share an allocation in joint stereo.
+    """
+    if h.layer == 3:
+        return int.from_bytes(data[at + 6 : at + 6 + h.side]), 8 * h.side
+    sizes = allocation_of(h)
+    channels = 1 if h.mono else 2
+    joint = data[at + 3] >> 6 == 1
+    bound = min(len(sizes), 4 * (1 + (data[at + 3] >> 4 & 3))) if joint else len(sizes)
+    body = data[at + 6 : at + h.size]
+    whole, length, used = int.from_bytes(body), 8 * len(body), 0
+
+    def take(n: int) -> int:
+        nonlocal used
+        used += n
+        return whole >> max(0, length - used) & (1 << n) - 1
+
+    scaled = 0
+    for band, bits in enumerate(sizes):
+        mine = [take(bits) for _ in range(channels if band < bound else 1)]
+        scaled += sum(map(bool, mine)) if band < bound else channels * bool(mine[0])
+    if h.layer == 2:
+        take(2 * scaled)
+    used = min(used, length)
+    return whole >> length - used, used
+
+
+def frame_crc(data: bytes, at: int, h: Header) -> int:
+    """The checksum that a protected frame should carry."""
+    bits, n = checked_bits(data, at, h)
+    value = crc16(data[at + 2 : at + 4] + (bits >> n % 8).to_bytes(n // 8))
+    for k in range(n % 8 - 1, -1, -1):
+        top = value >> 15 ^ bits >> k & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return value
+
+
 def _synchsafe(raw: bytes) -> int:
     value = 0
     for byte in raw:
@@ -128,10 +193,14 @@ class Stream:
 
     @property
     def micros(self) -> int:
-        """The duration in microseconds, each frame at its own rate, rounded down."""
+        """The duration in microseconds, each frame at its own rate, rounded down,
+        without the samples that the table says an encoder added."""
         by_rate: dict[int, int] = {}
         for h in self.headers:
             by_rate[h.rate] = by_rate.get(h.rate, 0) + h.samples
+        added = int(self.table.get("delay", 0)) + int(self.table.get("padding", 0))
+        if self.headers and added < by_rate[self.headers[0].rate]:
+            by_rate[self.headers[0].rate] -= added
         return sum(n * 1_000_000 // r for r, n in by_rate.items())
 
 
@@ -139,8 +208,12 @@ def _id3v2(data: bytes, tags: dict[str, str]) -> int:
     """Read the tag at the start; return where it ends."""
     if len(data) < 10 or data[:3] != b"ID3":
         return 0
-    major, end = data[3], min(len(data), 10 + _synchsafe(data[6:10]))
+    major, flags, end = data[3], data[5], min(len(data), 10 + _synchsafe(data[6:10]))
     at = 10
+    if flags & 0x40 and major == 3:  # an extended header; its size leaves itself out
+        at += 4 + int.from_bytes(data[10:14])
+    elif flags & 0x40 and major == 4:
+        at += _synchsafe(data[10:14])
     while major in (3, 4) and at + 10 <= end and data[at : at + 4].isalnum():
         size = _synchsafe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8])
         name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
@@ -153,7 +226,7 @@ def _id3v2(data: bytes, tags: dict[str, str]) -> int:
             else:
                 tags[name] = text
         at += 10 + size
-    return 10 + _synchsafe(data[6:10])
+    return 10 + _synchsafe(data[6:10]) + (10 if major == 4 and flags & 0x10 else 0)  # and a footer
 
 
 def _table(data: bytes, at: int, h: Header) -> dict[str, object]:
@@ -167,11 +240,23 @@ def _table(data: bytes, at: int, h: Header) -> dict[str, object]:
             if flags & bit:
                 out[key], p = int.from_bytes(data[p : p + 4]), p + 4
         if flags & 4:
-            out["toc"] = data[p : p + 100]
+            out["toc"], p = data[p : p + 100], p + 100
+        if flags & 8:
+            out["quality"], p = int.from_bytes(data[p : p + 4]), p + 4
+        if data[p : p + 4].isalnum() and p + 24 <= at + h.size:  # an encoder's own part: samples added at both ends
+            both = int.from_bytes(data[p + 21 : p + 24])
+            out["encoder"], out["delay"], out["padding"] = data[p : p + 9].decode("latin-1").rstrip("\0 "), both >> 12, both & 0xFFF
         return out
     if data[at + 36 : at + 40] == b"VBRI" and at + 54 <= len(data):
         size, frames = struct.unpack(">II", data[at + 46 : at + 54])
-        return {"kind": "VBRI", "frames": frames, "bytes": size}
+        out = {"kind": "VBRI", "frames": frames, "bytes": size}
+        if at + 62 <= min(len(data), at + h.size):
+            entries, scale, width, each = struct.unpack(">HHHH", data[at + 54 : at + 62])
+            table = data[at + 62 : at + 62 + entries * width]
+            if 1 <= width <= 4 and len(table) == entries * width:
+                steps = [int.from_bytes(table[k : k + width]) * scale for k in range(0, len(table), width)]
+                out |= {"toc": steps, "frames_per_entry": each}
+        return out
     return {}
 
 
@@ -214,10 +299,12 @@ def _walk(data: bytes, at: int, end: int, tags: dict[str, str]) -> tuple[Stream,
             at, synced = following, False
             continue
         synced = True
-        if h.protected and h.layer == 3:
-            block = data[at + 2 : at + 6 + h.side]
+        if h.protected:
+            block = data[at + 2 : at + 6 + (h.side if h.layer == 3 else h.size - 6)]
             if block not in sound:
-                sound[block] = crc16(block[:2] + block[4:]) == int.from_bytes(block[2:4])
+                if len(sound) > 1 << 10:
+                    sound.clear()
+                sound[block] = frame_crc(data, at, h) == int.from_bytes(block[2:4])
             out.checked += 1
             out.wrong += not sound[block]
         if first and h.layer == 3 and (table := _table(data, at, h)):
@@ -270,8 +357,11 @@ def write(payload: bytes) -> bytes:
 
 
 def read_payload(data: bytes, stream: Stream) -> bytes:
-    """The payload of a stream of :func:`write`; checksums, table and length must agree."""
-    size = int(stream.tags["TXXX:payload_bytes"])
+    """The payload of a stream of :func:`write`; ValueError unless checksums, table and length agree."""
+    told = stream.tags.get("TXXX:payload_bytes", "")
+    if not told.isdecimal():
+        raise ValueError("no stored payload")
+    size = int(told)
     if stream.wrong or stream.skipped or stream.table.get("frames") != len(stream.offsets):
         raise ValueError("damaged stream")
     payload = b"".join(data[at + _FRONT : at + h.size] for at, h in zip(stream.offsets, stream.headers, strict=True))
@@ -310,23 +400,41 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_micros long, frame_offsets array<long>"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_micros long, frame_offsets array<long>, error string"
+
+
+def measured(data: bytes | None) -> tuple:
+    """The features of one stored stream, from payload_bytes on, and what is wrong with it.
+
+    Null media has nulls. A stream of other origin, or a damaged one, has the
+    features of its frames and no payload; ``error`` says why.
+    """
+    if data is None:
+        return (None,) * 8 + ("no media",)
+    stream = probe(data)
+    payload, error = None, None
+    try:
+        payload = read_payload(data, stream)
+    except ValueError as wrong:
+        error = str(wrong)
+    told = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]))
+    return *told, len(data), hashlib.sha256(data).hexdigest(), feature(stream), stream.micros, stream.offsets, error
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold: payload, its digests, exact duration, frame offsets."""
+    """What the stored bytes hold: payload, its digests, exact duration, frame offsets.
+
+    Foreign, damaged and null media: see :func:`measured`. Repeated rows stay; an
+    empty table gives an empty result; other columns are not read.
+    """
     prepare(media.sparkSession)
     names = [x.split()[0] for x in _FEATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(2).to_pylist():
-                stream = probe(data)
-                payload = read_payload(data, stream)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), stream.micros, stream.offsets))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            rows = [measured(data) for data in batch.column(2).to_pylist()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _FEATURES)
