@@ -18,6 +18,9 @@ ARROW_ROWS = 512
 ARROW_BYTES = 4 << 20
 #: Bytes of texts that are encoded together, so that more of their words are the same.
 ENCODE_BYTES = 4 << 20
+#: Bits of the filter that spares rows a shuffle: a broadcast of at most
+#: ``SLOTS`` / 64 rows whatever the input.
+SLOTS = 1 << 26
 #: Bytes that a task holds of a Parquet file it writes to shared storage.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -147,6 +150,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def perhaps(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` and maybe, false only where the columns ``names`` are not among ``keys``.
+
+    A bitmap of ``SLOTS`` bits is broadcast, so its size does not grow with the
+    input; where it fills up, more rows are maybe. What is not maybe needs no shuffle.
+    """
+    slot = F.pmod(F.xxhash64(*names), F.lit(SLOTS))
+    word, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
+    one = F.expr("shiftleft(1L, bit)")
+    bits = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    probe = rows.withColumn("word", word).withColumn("bit", bit)
+    hit = F.expr("shiftright(bits, bit) & 1") == 1
+    return probe.join(F.broadcast(bits), "word", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("word", "bit", "bits")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", steps: Steps | None = None) -> DataFrame:
     """Connected components of an undirected graph of long ids.
 

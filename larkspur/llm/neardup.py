@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Steps, components, prepare, text_of
+from larkspur.llm.common import Steps, components, perhaps, prepare, text_of
 
 WORDS, PERCENT = 5, 80
 K, SHARED = 32, 12
@@ -47,9 +47,6 @@ SHORT = 32
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 4096
 #: Documents of a family, or of a list, that are held against all others first.
 LEADERS = 8
-#: Bits of the filter that spares texts a shuffle: a broadcast of at most
-#: ``SLOTS`` / 64 rows whatever the input.
-SLOTS = 1 << 26
 #: Pairs tested at once.
 _PAIRS = 1 << 14
 
@@ -378,32 +375,13 @@ def families(lists: DataFrame, percent: int, steps: Steps) -> DataFrame:
     return components(near.union(whole), steps=steps)
 
 
-def _word_and_bit(*key: str) -> tuple[Column, Column]:
-    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS))
-    return F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
-
-
-def perhaps(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` (with doc_id and mark) and maybe, false only where (doc_id, mark) is not among ``keys``.
-
-    A bitmap of ``SLOTS`` bits is broadcast, so its size does not grow with the
-    input; where it fills up, more rows are maybe.
-    """
-    word, bit = _word_and_bit("doc_id", "mark")
-    one = F.expr("shiftleft(1L, bit)")
-    bits = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
-    probe = rows.withColumn("word", word).withColumn("bit", bit)
-    hit = F.expr("shiftright(bits, bit) & 1") == 1
-    return probe.join(F.broadcast(bits), "word", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("word", "bit", "bits")
-
-
 def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """family, blocks, own, id, set: the full sets of the members, one for each id.
 
     Only the texts that the bitmap lets through are shuffled.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), text_of().alias("text"))
-    texts = perhaps(rows, members).where("maybe").select("doc_id", "mark", "text").dropDuplicates(["doc_id", "mark"])
+    texts = perhaps(rows, members, ["doc_id", "mark"]).where("maybe").select("doc_id", "mark", "text").dropDuplicates(["doc_id", "mark"])
     texts = texts.join(members, ["doc_id", "mark"]).select("family", "blocks", "own", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +505,7 @@ def drop_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     doubtful = keys.select("doc_id", "mark", F.coalesce("stays", F.lit(False)).alias("stays"), "rows").where("not stays or rows > 1").select("doc_id", "mark", "stays")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(), row)
-    seen = perhaps(given, doubtful)
+    seen = perhaps(given, doubtful, ["doc_id", "mark"])
     clear = seen.where("doc_id is null or not maybe").select("row")
     one = F.first("row") if "map<" in docs.schema.simpleString() else F.min("row")
     checked = seen.where("doc_id is not null and maybe").groupBy("doc_id", "mark").agg(one.alias("row"))

@@ -1,9 +1,10 @@
-"""Legacy archive converter: ARC records in, WARC records out, and both read back.
+"""Legacy archive converter: ARC files in, WARC files out, and both read back.
 
 ARC: a version block whose third line names the url-record fields, then records
 of one header line, a declared length and that many bytes. Version 1 lines are
 ``url ip date type length``, version 2 lines ``url ip date type status checksum
-location offset file length``.
+location offset file length``. Files may be gzipped, in one member or many, and
+hold several archives one after the other.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import new_path, prepare
+from larkspur.llm.common import Steps, by_bytes, delete_path, new_path, perhaps, prepare
 
 # Fixed values of the formats.
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -30,9 +31,13 @@ RECORD_END = "\r\n\r\n"
 
 #: Records of equal payloads become revisits from this many bytes on.
 LEAST_BYTES = 0
-#: Archive date of records that have none, and records of an archive file at most.
+#: Archive date of records that have none.
 DATE = "20000101000000"
-FILE_RECORDS = 20_000
+#: Bytes of records that are written together, at least, and such parts of a file:
+#: files hold about 32 MB, or one record.
+PART_BYTES, FILE_PARTS = 4 << 20, 8
+#: Parts that records of one payload are dealt to when they look for their response.
+SALTS = 16
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:larkspur:warc")
 
 
@@ -45,6 +50,7 @@ class ArcRecord:
     status: str
     checksum: str
     block: bytes
+    error: str | None = None
 
 
 def _word(value: str) -> str:
@@ -65,34 +71,43 @@ def write_arc(records: Iterable[ArcRecord], version: int) -> bytes:
     return b"".join([*out, b"\n"])
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records after the version block; lengths decide where a record ends.
+def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
+    """The records after each version block; lengths decide where a record ends.
 
-    The version is read from the version block. A line that doesn't have its
-    version's number of words, or a length beyond the end, is an error.
+    The version is read from the version block; until there is one, a line's
+    number of words tells. Blanks in a url become %20. What is no record line
+    gives one record with an ``error`` and an empty block, and reading goes on at
+    the next line that is one; so does a record that its archive cuts, the last.
     """
-    if not data.strip():
-        return
-    line, at = data[: (end := data.index(b"\n"))].decode(), end + 1
-    size = int(line.rsplit(" ", 1)[1])
-    version = int(data[at : data.index(b" ", at)])
-    n = len(ARC_FIELDS[version].split())
-    at += size
-    while True:
-        while data[at : at + 1] == b"\n":
-            at += 1
-        if at >= len(data):
+    version, lost = 0, False
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        words = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+        if line.startswith(b"filedesc://") and words[-1].isdecimal():
+            head = stream.read(int(words[-1])).split(b" ", 1)[0].strip()
+            version, lost = (int(head) if head in (b"1", b"2") else 0), False
+            continue
+        kind = version or (2 if len(words) >= 10 and words[-7][:1].isdigit() and words[-8].isdecimal() else 1)
+        after = len(ARC_FIELDS[kind].split()) - 1  # words after the url
+        tail = words[-after:]
+        if len(words) <= after or not tail[1].isdecimal() or not tail[-1].isdecimal():
+            if not lost:
+                yield ArcRecord("", "", "", "", "", "", b"", f"no record line: {line[:80]!r}")
+            lost = True
+            continue
+        lost, size = False, int(tail[-1])
+        block = stream.read(size)
+        url = "%20".join(words[:-after])
+        status, checksum = tail[3:5] if kind == 2 else ("", "")
+        if len(block) < size:
+            yield ArcRecord(url, *tail[:3], status, checksum, b"", f"cut after {len(block)} of {size} bytes")
             return
-        end = data.index(b"\n", at)
-        words = data[at:end].decode("utf-8", "replace").split(" ")
-        if len(words) != n:
-            raise ValueError(f"not a version {version} record line: {words[:6]}")
-        at, size = end + 1, int(words[-1])
-        if at + size > len(data):
-            raise ValueError("record longer than its archive")
-        status, checksum = words[4:6] if version == 2 else ("", "")
-        yield ArcRecord(*words[:4], status, checksum, data[at : at + size])
-        at += size
+        yield ArcRecord(url, *tail[:3], status, checksum, block)
+
+
+def parse_arc(data: bytes) -> Iterator[ArcRecord]:
+    return read_arc(open_archive(data))
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -145,6 +160,13 @@ def to_warc(record: ArcRecord, page_id: int | None, refers_to: int | None) -> by
     return "\r\n".join([*lines, "", ""]).encode() + block
 
 
+def warcinfo() -> bytes:
+    """The record that describes the file."""
+    block = b"software: larkspur\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, 'warcinfo')}>", f"WARC-Date: {iso(DATE)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join([*lines, "", ""]).encode() + block
+
+
 def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record; names are lower-cased."""
     while line := stream.readline():
@@ -183,7 +205,11 @@ class _Inflated(io.RawIOBase):
                 continue
             if self.at >= len(self.raw):
                 return 0
-            self.rest = self.engine.decompress(self.raw[self.at : self.at + 65536])
+            try:
+                self.rest = self.engine.decompress(self.raw[self.at : self.at + 65536])
+            except zlib.error:  # a damaged member ends the archive
+                self.at = len(self.raw)
+                return 0
             self.at += 65536
         n = min(len(buffer), len(self.rest))
         buffer[:n], self.rest = self.rest[:n], self.rest[n:]
@@ -194,77 +220,139 @@ def open_archive(raw: bytes) -> io.BufferedIOBase:
     return io.BufferedReader(_Inflated(raw), 1 << 16) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
 
 
-def convert(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """Write a WARC record per page to gzipped archives under ``path``.
+def _save(rows: DataFrame, path: str, end: str) -> None:
+    """Spark's text writer commits the files, so a lost executor leaves no torn archive."""
+    writer = rows.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    writer.option("maxRecordsPerFile", FILE_PARTS).text(path)
+
 
-    Each Arrow batch of pages becomes a legacy archive, of version 1 and 2 in
-    turn, which the converter parses and turns into WARC records. Of records
-    with equal payloads of at least ``least`` bytes, that with the greatest
-    page_id is the response and the others revisit it; a null page_id is a
-    response always. Spark's text writer commits the files, so a lost executor
-    leaves no torn archive; a record's closing line ends are its separator.
+def write_arcs(pages: DataFrame, path: str) -> None:
+    """Write pages as gzipped ARC files, archives of version 1 and 2 in turn.
+
+    The page's number is a line of the record's HTTP head.
     """
     prepare(pages.sparkSession)
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    rows = rows.withColumn("key", F.sha1(F.col("html").cast("binary")))
-    equal = rows.where(F.octet_length("html") >= least).groupBy("key").agg(F.max("page_id").alias("last"), F.count("page_id").alias("n"))
-    equal = equal.where("n > 1").select("key", "last")
-    decided = rows.join(equal, "key", "left")
-    refers = F.when(F.col("last") > F.col("page_id"), F.col("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, batch in enumerate(batches):
-            ids, urls, texts, refer = (batch.column(k).to_pylist() for k in range(4))
-            records = [ArcRecord(u, "0.0.0.0", DATE, "text/html", "200", "-", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if k is None else k}\r\n\r\n".encode() + t.encode()) for k, u, t in zip(ids, urls, texts, strict=True)]
-            found = parse_arc(write_arc(records, 1 + i % 2))
-            out = [to_warc(r, k, to).decode() for r, k, to in zip(found, ids, refer, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            ids, urls, texts = (batch.column(k).to_pylist() for k in range(3))
+            head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {}\r\n\r\n"
+            records = (ArcRecord(u, "0.0.0.0", DATE, "text/html", "200", "-", head.format("" if k is None else k).encode() + t.encode()) for k, u, t in zip(ids, urls, texts, strict=True))
+            for part in by_bytes(records, PART_BYTES, size=lambda r: len(r.block)):
+                yield pa.RecordBatch.from_arrays([pa.array([write_arc(part, 1 + i % 2).decode()], pa.string())], names=["value"])
+
+    rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit("")))
+    _save(rows.mapInArrow(run, "value string"), path, "\n")
+
+
+_ARC = "page_id long, url string, ip string, date string, kind string, payload_bytes long, key binary, block binary, error string"
+
+
+def read_arcs(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """A row per record of the ARC files under ``path``, plain or gzipped.
+
+    page_id (of a head with one, else null), url, ip, date, kind, payload_bytes,
+    key (SHA-1 of the payload), block and error: what is no record, or is cut,
+    has an error, a null key and an empty block.
+    """
+    prepare(spark)
 
-    made = decided.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(run, "value string")
-    made.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.binary(), pa.binary(), pa.string()]
+        names = [x.split()[0] for x in _ARC.split(", ")]
+        for raw in (cell.as_py() for batch in batches for cell in batch.column(0)):
+            for part in by_bytes(parse_arc(raw), PART_BYTES, size=lambda r: len(r.block)):
+                rows = []
+                for r in part:
+                    head, payload = split_http(r.block)
+                    page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
+                    rows.append((int(page[1]) if page else None, r.url, r.ip, r.date, r.kind, len(payload), None if r.error else hashlib.sha1(payload).digest(), r.block, r.error))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path)
+    return archives.select("content").mapInArrow(run, _ARC)
 
 
-def read_back(pages: DataFrame, path: str) -> DataFrame:
+def convert(records: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
+    """Write a WARC record for each ARC record to gzipped files under ``path``.
+
+    Of records with equal payloads of at least ``least`` bytes, that with the
+    greatest page_id is the response and the others revisit it; a null page_id is
+    a response always; records with an error are left out. Only records whose
+    payload may repeat (a bitmap tells) are shuffled, those of one payload to
+    several tasks. Files begin with a warcinfo record.
+    """
+    spark = prepare(records.sparkSession)
+    with Steps(spark) as steps:
+        whole = records.where("error is null")
+        equal = whole.where(F.col("payload_bytes") >= least).groupBy("key").agg(F.max("page_id").alias("last"), F.count("page_id").alias("n"))
+        equal = steps.write(equal.where("n > 1").select("key", "last"), "equal")
+        seen = perhaps(whole.select("page_id", "url", "ip", "date", "kind", "key", "block"), equal, ["key"])
+        once = seen.where("not maybe").withColumn("last", F.lit(None).cast("long"))
+        salted = equal.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        many = seen.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+        refers = F.when(F.col("last") > F.col("page_id"), F.col("last")).alias("refers_to")
+        columns = ["page_id", "url", "ip", "date", "kind", "block"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def made() -> Iterator[bytes]:
+                for batch in batches:
+                    for page, url, ip, date, kind, block, to in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                        yield to_warc(ArcRecord(url, ip, date, kind, "", "", block), page, to)
+
+            for part in by_bytes(made(), PART_BYTES):
+                value = RECORD_END.encode().join([warcinfo(), *part]).decode("utf-8", "surrogateescape")
+                yield pa.RecordBatch.from_arrays([pa.array([value], pa.string())], names=["value"])
+
+        rows = once.select(*columns, refers).union(many.select(*columns, refers))
+        _save(rows.mapInArrow(run, "value string"), path, RECORD_END)
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archives under ``path``.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, record_id,
     url, date. The payload of a response is digested anew and must agree with
     its header, as must every block.
     """
-    spark = prepare(pages.sparkSession)
+    prepare(spark)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         names = [x.split()[0] for x in schema.split(", ")]
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for headers, block in read_warc(open_archive(raw.as_py())):
-                    head, payload = split_http(block)
-                    sha = headers["warc-payload-digest"].removeprefix("sha1:")
-                    size = int(headers["x-payload-length"])
-                    response = headers["warc-type"] == "response"
-                    if headers["warc-block-digest"] != f"sha1:{digest(block)}" or response and (digest(payload), len(payload)) != (sha, size):
-                        raise ValueError("digest does not agree")
-                    page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
-                    to = headers.get("x-refers-to-page")
-                    rows.append((int(page[1]) if page else None, size, sha, headers["warc-type"], int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"]))
-                columns = zip(*rows, strict=True) if rows else [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        def rows(raw: bytes) -> Iterator[tuple]:
+            for headers, block in read_warc(open_archive(raw)):
+                if headers["warc-type"] == "warcinfo":
+                    continue
+                head, payload = split_http(block)
+                sha = headers["warc-payload-digest"].removeprefix("sha1:")
+                size = int(headers["x-payload-length"])
+                response = headers["warc-type"] == "response"
+                if headers["warc-block-digest"] != f"sha1:{digest(block)}" or response and (digest(payload), len(payload)) != (sha, size):
+                    raise ValueError("digest does not agree")
+                page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
+                to = headers.get("x-refers-to-page")
+                yield int(page[1]) if page else None, size, sha, headers["warc-type"], int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"]
+
+        for raw in (cell.as_py() for batch in batches for cell in batch.column(0)):
+            for part in by_bytes(rows(raw), 4096, size=lambda _: 1):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return archives.select("content").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Convert into the shared folder and read the archives back, a row per page.
+    """Pages as ARC files in the shared folder, converted to WARC files there, which are read back: a row per page.
 
     A null html is an empty payload, a null url an empty address (``-``);
     repeated rows are records of their own and the greatest page_id's rows are
     all responses; an empty table gives no row; other columns are not read.
     """
-    path = new_path(pages.sparkSession, "warc")
-    convert(pages, path, least)
-    return read_back(pages, path)
+    spark = pages.sparkSession
+    old, path = new_path(spark, "arc"), new_path(spark, "warc")
+    write_arcs(pages, old)
+    convert(read_arcs(spark, old, "part-*"), path, least)
+    delete_path(spark, old)
+    return read_back(spark, path)

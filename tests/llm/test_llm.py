@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and odd rows."""
 
+import gzip
 import hashlib
 import json
 import random
@@ -345,12 +346,43 @@ def test_arc_round_trip(version):
     assert warc.iso(back[0].date) == "2001-02-03T00:00:00Z"
 
 
+def test_arc_files_are_read_whatever_their_state(spark, tmp_path):
+    records = [warc.ArcRecord(f"http://h/{i}", "1.2.3.4", "20010203040506", "text/html", "200", "-", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * i) for i in (0, 5, 9)]
+    one, two = (warc.write_arc(records, v) for v in (1, 2))
+    blank = one.replace(b"http://h/5 ", b"http://h/5 a b ")
+    (tmp_path / "a.arc").write_bytes(one)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(two[:300]) + gzip.compress(two[300:]))
+    (tmp_path / "c.arc").write_bytes(blank + two)
+    (tmp_path / "d.arc").write_bytes(one.replace(b"http://h/5 1.2.3.4 20010203040506", b"http://h/5 1.2.3.4 never"))
+    (tmp_path / "e.arc").write_bytes(one[:-4])
+    (tmp_path / "f.arc").write_bytes(b"")
+    (tmp_path / "g.arc").write_bytes(one[one.index(b"\n\n") + 2 :])
+    got = {}
+    for place in sorted(tmp_path.iterdir()):
+        rows = warc.read_arcs(spark, str(place)).collect()
+        got[place.name[0]] = [(x["url"][-1:], x["payload_bytes"], bool(x["error"])) for x in rows]
+    fine = [("0", 0, False), ("5", 5, False), ("9", 9, False)]
+    assert got["a"] == got["b"] == got["g"] == fine and got["f"] == []
+    assert got["c"] == [fine[0], ("b", 5, False), fine[2], *fine]
+    assert got["d"] == [fine[0], ("", 0, True), fine[2]]
+    assert got["e"] == [*fine[:2], ("9", 0, True)]
+    out = f"{tmp_path}/out"
+    warc.convert(warc.read_arcs(spark, str(tmp_path)), out)
+    back = warc.read_back(spark, out).collect()
+    assert len(back) == 19 and {r["record_type"] for r in back} == {"response"}  # without page ids nothing is referred to
+    raw = gzip.decompress(next((tmp_path / "out").glob("part-*.gz")).read_bytes())
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+
+
 def test_archive(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "b c", None), (4, "", ""), (None, "u", "é\r\n\r\nWARC/1.1"), (5, "u", "z" * 200000)]
     got = {r["page_id"]: r for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1]["refers_to"] == 2 and got[2]["record_type"] == "response" and got[3]["refers_to"] == 4
     assert got[None]["payload_digest"] == warc.digest("é\r\n\r\nWARC/1.1".encode()) and got[5]["payload_bytes"] == 200000
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
+    many = [(i, f"u{i}", f"<p>{i % 7}</p>") for i in range(300)]
+    got = {r["page_id"]: r["refers_to"] for r in warc.archive(spark.createDataFrame([(*r, "x", "y") for r in many], "page_id long, url string, html string, key string, block string")).collect()}
+    assert got == {i: None if i >= 293 else max(k for k in range(300) if k % 7 == i % 7) for i in range(300)}
 
 
 def test_url_rules(spark):
@@ -398,3 +430,99 @@ def test_audio_payload_that_looks_like_a_tag():
     for media in (audio.write(bytes(5000)), audio.write(bytes(5000))[:-40]):
         stream, plain = audio.probe(media + tag), audio.probe(media)
         assert stream.tags["v1:title"] == "a title" and stream.offsets == plain.offsets
+
+
+def bitwise_crc(bits):
+    """The frame checksum, a bit at a time, from the standard."""
+    value = 0xFFFF
+    for bit in bits:
+        top = value >> 15 & 1 ^ bit
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return value
+
+
+def bits_of(raw):
+    return [byte >> k & 1 for byte in raw for k in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize("layer, mode, covered", [(1, 3, 128), (1, 0, 256), (1, 1, 4 * (2 * 4 + 28)), (2, 3, 88 + 2 * 27)])
+def test_audio_checksums_of_layers_one_and_two(layer, mode, covered):
+    """MPEG 1, 32 kHz; layer I at 128 kbit/s, layer II mono at 56 kbit/s (table a), all allocated."""
+    at = {1: 4, 2: 3}[layer]
+    head = bytes([0xFF, 0xF0 | 4 - layer << 1 | 8, at << 4 | 2 << 2, mode << 6])
+    h = audio.header(head)
+    assert (h.layer, h.mono, h.protected) == (layer, mode == 3, True)
+    body = b"\x5a\xff\x11\x77" * 500
+    if layer == 2:
+        body = b"\xff" * 2000
+    body = body[: h.size - 6]
+    if layer == 2:
+        assert audio.allocation_of(h) == (4,) * 11 + (3,) * 12 + (2,) * 4 and sum(audio.allocation_of(h)) == 88
+    crc = bitwise_crc(bits_of(head[2:]) + bits_of(body)[:covered])
+    frame = head + crc.to_bytes(2) + body
+    good, bad = audio.probe(frame * 3), audio.probe(frame + frame[:4] + (crc ^ 1).to_bytes(2) + body + frame)
+    assert (good.checked, good.wrong, len(good.offsets)) == (3, 0, 3) and (bad.checked, bad.wrong) == (3, 1)
+
+
+def test_audio_foreign_damaged_and_null_media(spark):
+    good = audio.write(audio.padded(b"words"))
+    damaged = bytearray(audio.write(bytes(20000)))
+    damaged[audio.probe(bytes(damaged)).offsets[3]] = 0
+    rows = [(1, 5, good), (2, 0, None), (3, 0, b""), (4, 0, b"no audio at all"), (5, 20000, bytes(damaged)), (6, 0, good[-200:])]
+    given = spark.createDataFrame([(k, n, None if m is None else bytearray(m), "x") for k, n, m in rows], "doc_id long, n_bytes long, media binary, error string")
+    got = {r["doc_id"]: r for r in audio.features(given).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 64
+    assert (got[2]["error"], got[2]["feature"], got[2]["media_bytes"]) == ("no media", None, None)
+    assert [(got[k]["error"], got[k]["payload_sha256"], got[k]["feature"]) for k in (3, 4)] == [("no stored payload", None, "no frames")] * 2
+    assert got[5]["error"] == "damaged stream" and got[5]["duration_micros"] > 0
+    assert audio.features(given.limit(0)).isEmpty()
+
+
+def test_audio_columns_match_brute_force(spark):
+    rnd = random.Random(6)
+    rows = [(i + 10, words_of(rnd, n) + rnd.choice(["", " \u00e9\u65e5"]), "en", "a") for i, n in enumerate([1, 3, 12, 13, 200, 3000])] + ODD
+    media = {(r["doc_id"], r["n_bytes"]): bytes(r["media"]) for r in audio.encode(docs(spark, rows)).collect()}
+    for r in audio.store_and_probe(docs(spark, rows)).collect():
+        raw = next((t or "").encode() for k, t, *_ in rows if k == r["doc_id"])
+        whole = raw + bytes(max(64, (len(raw) + 63) // 64 * 64) - len(raw))
+        stored = media[r["doc_id"], len(raw)]
+        frames = [k for k in r["frame_offsets"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["error"]) == (len(stored), hashlib.sha256(stored).hexdigest(), None)
+        assert all(stored[k : k + 2] == b"\xff\xfa" for k in frames) and f"frames={len(frames)} samples={1152 * len(frames)}" in r["feature"]
+        assert r["duration_micros"] == 1152 * len(frames) * 1_000_000 // 32000
+
+
+def test_audio_tags_and_tables():
+    body = audio.write(bytes(3000))
+    frames = body[audio._id3v2(body, {}) :]
+    text = b"TIT2" + (6).to_bytes(4) + b"\0\0" + b"\0title"
+    for major, flags, extra, footer in ((3, 0, b"", b""), (3, 0x40, (6).to_bytes(4) + bytes(6), b""), (4, 0x50, (6).to_bytes(4) + bytes(2), b"3DI" + bytes(7))):
+        inner = extra + text
+        tag = b"ID3" + bytes([major, 0, flags, 0, 0, 0, len(inner)]) + inner + footer
+        stream = audio.probe(tag + frames)
+        assert stream.tags["TIT2"] == "title" and stream.skipped == 0 and stream.offsets[0] > len(tag)
+    h = audio.header(frames[:4])
+    size = max(audio._ROOMS) + audio._FRONT
+    vbri = bytearray(audio._FRONTS[max(audio._ROOMS)].ljust(size, b"\0"))
+    vbri[36:66] = b"VBRI" + bytes(6) + (9999).to_bytes(4) + (7).to_bytes(4) + (2).to_bytes(2) + (3).to_bytes(2) + (2).to_bytes(2) + (5).to_bytes(2) + (10).to_bytes(2) + (20).to_bytes(2)
+    assert audio.probe(bytes(vbri) + frames[h.size :]).table == {"kind": "VBRI", "frames": 7, "bytes": 9999, "toc": [30, 60], "frames_per_entry": 5}
+    lame = bytearray(audio._FRONTS[max(audio._ROOMS)].ljust(size, b"\0"))
+    lame[audio._FRONT : audio._FRONT + 8] = b"Xing" + bytes(4)
+    lame[audio._FRONT + 8 : audio._FRONT + 17] = b"LAME3.100"
+    lame[audio._FRONT + 29 : audio._FRONT + 32] = (576 << 12 | 1000).to_bytes(3)
+    stream = audio.probe(bytes(lame) + frames[h.size :])
+    assert (stream.table["delay"], stream.table["padding"]) == (576, 1000)
+    assert stream.micros == (stream.samples - 1576) * 1_000_000 // 32000
+
+
+def test_url_tables_of_rules_match_the_index(spark):
+    rnd = random.Random(7)
+    hosts = ["a.b.net", "net", "b.net", "x.a.b.net", "c.org", "org"]
+    rules = {f"{rnd.choice(hosts)}/{''.join(rnd.choice('ab/') for _ in range(rnd.randrange(4)))}": rnd.choice(["block", "allow"]) for _ in range(40)}
+    rows = [(i, f"http://{rnd.choice(['', 'w.', 'A.'])}{rnd.choice(hosts)}/{''.join(rnd.choice('ab/') for _ in range(6))}") for i in range(300)] + [(None, None), (1, "x"), (1, "x")]
+    pages = spark.createDataFrame([(k, u, "r") for k, u in rows], "page_id long, url string, rule string")
+    table = spark.createDataFrame([*rules.items(), (None, "block"), ("no slash", "block"), ("net/", None)], "rule string, verdict string")
+    want = sorted(map(str, urls.judge(pages, rules).collect()))
+    assert sorted(map(str, urls.judge_by_join(pages, table).collect())) == want
+    assert urls.judge(pages.limit(0), rules).isEmpty() and urls.judge_by_join(pages.limit(0), table).isEmpty()
