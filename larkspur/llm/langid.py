@@ -23,6 +23,7 @@ LANGS = 10_000
 #: No letter at all.
 UNKNOWN = "und"
 _SPREAD = 16
+_BLANK = 32
 
 
 @cache
@@ -34,20 +35,20 @@ def _letters() -> np.ndarray:
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct 1- to 3-grams of the letters' words, as codes, and their counts.
 
-    Words are runs of letters in lower case, with a blank (0) on either side;
-    a code holds up to three code points of 21 bits.
+    Words are runs of letters in lower case, with a blank on either side; a
+    code holds up to three code points of 21 bits.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
-    points = np.where(_letters()[points], points, 0)
-    points = np.concatenate([[0], points, [0]]).astype(np.uint64)
-    keep = (points != 0) | np.concatenate([[True], points[:-1] != 0])
+    points = np.where(_letters()[points], points, _BLANK)
+    points = np.concatenate([[_BLANK], points, [_BLANK]]).astype(np.uint64)
+    keep = (points != _BLANK) | np.concatenate([[True], points[:-1] != _BLANK])
     p = points[keep]
     if len(p) < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     s = np.uint64(21)
     two = (p[:-1] << s) | p[1:]
     three = (two[:-1] << s) | p[2:]
-    codes = np.concatenate([p[p != 0], two, three[p[1:-1] != 0]])
+    codes = np.concatenate([p[p != _BLANK], two, three[p[1:-1] != _BLANK]])
     codes.sort()
     first = np.nonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))[0]
     return codes[first], np.diff(np.concatenate([first, [len(codes)]]))

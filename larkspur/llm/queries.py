@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import audio, langid, mixing, neardup, packing, quality, tokens, urls, vectors, warc
@@ -20,16 +20,21 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _fold(of: int, which: int) -> Column:
+    """Whether a document is in the fold; a null doc_id is in none, and teaches nothing."""
+    return F.coalesce(crc_of_id() % of == which, F.lit(False))
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(crc_of_id() % 4 != 2))
-    return quality.classify(docs, model).withColumn("held_out", crc_of_id() % 4 == 2)
+    return quality.classify(docs, model).withColumn("held_out", _fold(4, 2))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     profiles = langid.train(docs.where(crc_of_id() % 5 != 0))
-    return langid.identify(docs, profiles).withColumn("held_out", crc_of_id() % 5 == 0)
+    return langid.identify(docs, profiles).withColumn("held_out", _fold(5, 0))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,4 +150,34 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fits WHERE k = 1
 """
 
-ORACLES: dict[str, str] = {"op4_source_mixing": _OP4, "op6_warc_convert": _OP6, "op9_url_filter": _OP9}
+_OP3 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+  WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.id = e.vec_id
+"""
+
+_OP5 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
+held AS (SELECT doc_id, n, v FROM flat JOIN (SELECT v FROM flat GROUP BY v HAVING count(*) > 1) USING (v)),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.v = b.v AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON id = doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_embedding_dedup": _OP3, "op5_minhash_dedup": _OP5, "op4_source_mixing": _OP4, "op6_warc_convert": _OP6, "op9_url_filter": _OP9}

@@ -14,7 +14,8 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from larkspur.llm import audio, encoding, langid, mixing, neardup, packing, quality, tokens, urls, vectors, warc
+import corpus_pipeline
+from larkspur.llm import audio, common, encoding, langid, mixing, neardup, packing, quality, queries, tokens, urls, vectors, warc
 from larkspur.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, n string"
@@ -526,3 +527,120 @@ def test_url_tables_of_rules_match_the_index(spark):
     want = sorted(map(str, urls.judge(pages, rules).collect()))
     assert sorted(map(str, urls.judge_by_join(pages, table).collect())) == want
     assert urls.judge(pages.limit(0), rules).isEmpty() and urls.judge_by_join(pages.limit(0), table).isEmpty()
+
+
+def test_statistics_match_plain_counting():
+    rnd = random.Random(9)
+    texts = ["word", " ", "A b\nA b\n\nc | d! 7,5.", "\u00e9\u65e5 x", *("".join(rnd.choice("aB 1\n.,!?|#\u00e9\t") for _ in range(rnd.randrange(1, 200))) for _ in range(200))]
+    sets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\x0b\x0c", ".", ",", "!?", "|"]
+    for text in texts:
+        size = len(text.encode())
+        share = [sum(c in one for c in text) / size for one in sets]
+        share.append(sum(33 <= ord(c) < 127 and not any(c in one for one in sets) for c in text) / size)
+        share.append(sum(len(c.encode()) for c in text if ord(c) > 127) / size)
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        pairs = {(a, b) for a, b in zip(words, words[1:], strict=False)}
+        n, m = max(1, len(words)), max(1, len(lines))
+        long = [len(w.encode()) for w in words]
+        want = [*share, np.log1p(len(words)), sum(long) / n, np.log1p(max(long, default=0)), len(set(words)) / n, len(pairs) / max(1, n - 1), len(set(lines)) / m, np.log1p(size / m), np.log1p(max((len(x.encode()) for x in lines), default=0)), share[0] / max(1e-9, share[0] + share[1])]
+        assert quality.statistics(text) == pytest.approx(want, abs=1e-12), repr(text)
+
+
+def test_quality_fit_is_bounded_in_rows_and_defined_for_repeats(spark):
+    given = docs(spark, [(1, f"text {i}", "en", "a") for i in range(50)] + [(2, "one", "en", "a"), (2, "one", "en", "a"), (3, None, None, None)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    seen = []
+    original, quality.fit = quality.fit, lambda x, y: seen.append((len(x), sorted(y.tolist()))) or original(x, y)
+    try:
+        quality.train(given, labels)
+        quality.train(given, labels, sample=1)
+        quality.train(given.limit(0), labels)
+    finally:
+        quality.fit = original
+    assert [n for n, _ in seen] == [3, 1, 0] and seen[0][1] == [0.0, 1.0, 1.0]
+
+
+def test_language_distances_match_plain_counting():
+    rnd = random.Random(10)
+
+    def ranked(text, n):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        line = [" ", *(c for w in words for c in [*w, " "])]
+        grams = Counter(c for c in line if c != " ")
+        grams.update("".join(line[i : i + 2]) for i in range(len(line) - 1))
+        grams.update("".join(line[i : i + 3]) for i in range(len(line) - 2) if line[i + 1] != " ")
+        return sorted(grams, key=lambda g: (-grams[g], len(g), g))[:n] if words else []
+
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "\u00e9\u00e8xyzab"}
+    taught = {lang: " ".join("".join(rnd.choice(a) for _ in range(rnd.randrange(1, 6))) for _ in range(300)) for lang, a in alphabets.items()}
+    n = 40
+    profiles = langid.profiles_of({lang: langid.ngrams(t) for lang, t in taught.items()}, n)
+    places = {lang: {g: i for i, g in enumerate(ranked(t, n))} for lang, t in taught.items()}
+    for _ in range(100):
+        text = "".join(rnd.choice("abcdefgxyz\u00e9 .1\n") for _ in range(rnd.randrange(60)))
+        mine = ranked(text, n)
+        apart = {lang: sum(abs(p[g] - i) if g in p else n for i, g in enumerate(mine)) for lang, p in places.items()}
+        lang, score = profiles.predict(text)
+        best = min(sorted(apart), key=apart.get)
+        assert (lang, score) == ((best, pytest.approx(1 - apart[best] / (n * len(mine)))) if mine else ("und", 0.0)), repr(text)
+
+
+CLASHES = ["row", "word", "bit", "bits", "maybe", "mark", "set_id", "h", "part", "k0", "k1", "size", "taken", "at", "kept", "pass", "n", "n_shingles", "component_id", "score", "predicted", "p", "lang_pred", "held_out", "id", "value", "doc", "media", "feature", "position", "again", "rank", "__size", "__words", "__lang", "__score", "stays"]
+
+
+def operators(spark):
+    one = quality.fit(np.zeros((0, quality.FEATURES)), np.zeros(0))
+    profiles = langid.profiles_of({"en": langid.ngrams("the house of words"), "de": langid.ngrams("das haus der worte")})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return {
+        "quality": lambda d: quality.classify(d, one),
+        "language": lambda d: langid.identify(d, profiles),
+        "learned language": lambda d: langid.identify(d, langid.train(d)),
+        "mixing": mixing.mix,
+        "mixed": mixing.apply,
+        "near duplicates": neardup.near_duplicates,
+        "without duplicates": neardup.drop_duplicates,
+        "packing": lambda d: packing.pack(d, path).drop("sequence_id", "offset"),
+        "tokens": lambda d: tokens.token_counts(d, path),
+        "audio": audio.store_and_probe,
+        "language stage": lambda d: corpus_pipeline.language_id(spark, d, "/root/testdata/sf0.001"),
+        "quality stage": lambda d: corpus_pipeline.quality_filter(spark, d, "/root/testdata/sf0.001"),
+    }
+
+
+@pytest.mark.parametrize("name", list(operators(None)))
+def test_empty_tables_and_clashing_columns(spark, name):
+    run = operators(spark)[name]
+    plain = docs(spark, ODD + [(7, "The same words. " * 9, "en", "a"), (8, "The same words. " * 9, "de", "a"), (7, "Other words at last", "en", "b")]).select("doc_id", "text", "lang", "source")
+    empty = run(plain.limit(0))
+    assert empty.isEmpty()
+    mixed = plain.withColumns({c: plain.text for c in CLASHES})
+    columns = empty.columns
+    want = sorted(map(str, run(plain).select(*columns).collect()))
+    rows = run(mixed)
+    assert sorted(map(str, rows.select(*columns).collect())) == want
+    if columns == plain.columns:
+        assert rows.columns == mixed.columns
+
+
+def test_vectors_of_an_empty_table_and_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0, 0.01], "x"), (None, [1.0, 0.0], "x")], "vec_id long, embedding array<float>, v string")
+    more = rows.withColumns({c: rows.v for c in ("id", "n", "width", "links", "ok", "component_id", "kept")})
+    want = [(None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False)]
+    assert sorted(map(tuple, vectors.near_duplicates(more).collect()), key=str) == sorted(want, key=str)
+    assert vectors.near_duplicates(rows.limit(0)).isEmpty()
+
+
+def test_folds_are_defined_for_null_ids(spark, tmp_path):
+    docs(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for run, of, which in ((queries.op1_quality_classifier, 4, 2), (queries.op2_language_id, 5, 0)):
+        for r in run(spark, str(tmp_path)).collect():
+            assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % of == which)
+
+
+def test_steps_leave_only_what_a_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = neardup.near_duplicates(docs(spark, ODD + [(9, "a b c d e f", "en", "a"), (10, "a b c d e f", "en", "a")])).collect()
+    assert len(rows) == len(ODD) + 2 and len(list(tmp_path.iterdir())) == 2
