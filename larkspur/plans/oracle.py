@@ -294,8 +294,8 @@ def _behaviour() -> dict[str, str]:
           ORDER BY view_to_purchase_pct DESC NULLS LAST, product_id LIMIT 25""",
         "a10_trending_4w": f"""SELECT product_id, name AS product_name, category_name, p AS prior_events, r AS recent_events, rp AS recent_purchases, {_r("CAST(r AS DOUBLE) / nullif(p, 0)", 3)} AS growth_multiple,
             CASE WHEN p = 0 THEN 'newly discovered' WHEN r > p * 1.5 THEN 'surging' WHEN r > p * 1.1 THEN 'rising' WHEN r < p * 0.7 THEN 'cooling' ELSE 'steady' END AS trend_label
-          FROM (SELECT product_id, count(*) FILTER (back <= INTERVAL 14 DAY) AS r, count(*) FILTER (back > INTERVAL 14 DAY) AS p, count(*) FILTER (back <= INTERVAL 14 DAY AND interaction_type = 'purchase') AS rp
-            FROM (SELECT *, (SELECT as_of FROM clock) - interaction_timestamp AS back FROM log) WHERE back <= INTERVAL 28 DAY GROUP BY 1) JOIN products USING (product_id) WHERE r >= 20
+          FROM (SELECT product_id, count(*) FILTER (back <= INTERVAL 28 DAY) AS r, count(*) FILTER (back > INTERVAL 28 DAY) AS p, count(*) FILTER (back <= INTERVAL 28 DAY AND interaction_type = 'purchase') AS rp
+            FROM (SELECT *, (SELECT as_of FROM clock) - interaction_timestamp AS back FROM log) WHERE back <= INTERVAL 56 DAY GROUP BY 1) JOIN products USING (product_id) WHERE r >= 20
           ORDER BY growth_multiple DESC NULLS LAST, r DESC, product_id LIMIT 25""",
         "a11_favourite_categories": f"""SELECT user_id, persona AS generated_persona, c[1].category_name AS favourite_category, c[1].interaction_score AS favourite_score, c[2].category_name AS second_category, c[2].interaction_score AS second_score,
             c[3].category_name AS third_category, {_r("CAST(c[1].interaction_score AS DOUBLE) / nullif(t, 0)", 3)} AS favourite_concentration

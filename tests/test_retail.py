@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import harness
+from larkspur.functions import sql
 from larkspur.functions.places import medians, rank_threshold
 from larkspur.operators import api, evaluation, search, serving
 from larkspur.operators.features import RELATIONS, Layer, refreshed, stored
@@ -161,3 +163,33 @@ def test_csv_round_trip(spark, tmp_path):
     for _ in range(2):
         write_csv(df, str(tmp_path / "t"))
     assert sorted(map(tuple, read_csv(spark, str(tmp_path / "t"), "k int, v string").collect())) == [(1, "a, b"), (2, None)]
+
+
+def test_the_layer_answers_sql(spark, layer):
+    names = sql.install(layer)
+    assert {"rec_decay", "get_trending_products", "product_similarity"} <= set(names)
+    assert spark.sql("SELECT rec_as_of()").first()[0] == layer.context.as_of
+    row = spark.sql("SELECT rec_setting('weight_similarity'), rec_weight('cart'), rec_decay(TIMESTAMP_NTZ '2024-01-01', TIMESTAMP_NTZ '2024-01-31', 30D), rec_decay(TIMESTAMP_NTZ '2024-02-01', TIMESTAMP_NTZ '2024-01-31', 30D)").first()
+    assert tuple(row) == (0.5, 5, 0.5, 1.0)
+    rows = spark.sql("SELECT * FROM get_trending_products(5) ORDER BY trending_score DESC, product_id").collect()
+    assert [tuple(r) for r in rows] == [tuple(r) for r in serving.trending(layer, 5).collect()]
+    product = layer.product_similarity.first()["product_a"]
+    want = sorted(r["product_b"] for r in layer.product_similarity.where(F.col("product_a") == product).orderBy(F.desc("similarity_score"), "product_b").limit(3).collect())
+    assert sorted(r["product_id"] for r in spark.sql(f"SELECT * FROM get_neighbours({product}, 3)").collect()) == want
+    assert spark.sql("SELECT * FROM get_preferences(1, 2)").count() <= 2
+
+
+def test_build_and_benchmark_reports(spark, layer, tmp_path):
+    shelf = Snapshots(spark, f"file://{tmp_path}/layer")
+    made, report = harness.build(registry.behaviour(spark, SF), shelf)
+    assert [r["layer"] for r in report["layers"]] == list(RELATIONS) and all(r["bytes"] > 0 for r in report["layers"])
+    times = harness.benchmark({"trending": lambda: serving.trending(made)}, shelf, runs=2)
+    harness.save(times, f"{tmp_path}/bench.json")
+    assert api.evaluation(f"{tmp_path}/bench.json")["queries"]["trending"]["runs"] == 2
+    text = (tmp_path / "bench.md").read_text()
+    assert "| trending |" in text and "FileScan parquet" in text
+    empty = Layer(Retail(spark, f"{tmp_path}/none"), layer.context)
+    for name in ("events", "orders", "lineitem", "customer", "nation", "part"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    with pytest.raises(ValueError):
+        harness.build(empty, shelf)
