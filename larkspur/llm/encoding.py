@@ -46,6 +46,9 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_LEVEL = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, {**_BYTE_LEVEL, "use_regex": False}]}
 _WORD_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
+# Fixed value: how the byte-level alphabet writes a space.
+SPACE = "\u0120"
+
 #: A line feed between two characters that are no white space.
 _LINE = re.compile(r"(?<=\S)(?=\n\S)")
 #: Behind a full-width stop or comma that stands between two letters.
@@ -112,7 +115,11 @@ class Encoder:
         self.tokenizer, self.keep_ids = load(path), keep_ids
         self.uses, self.timer = 0, None
         self.safe = cuts_are_safe(self.tokenizer)
-        self.mark, self.mark_id, self.has_mark = "", -1, None
+        self.mark, self.mark_id, self.has_mark, self.opens = "", -1, None, None
+        if self.safe and json.loads(self.tokenizer.to_str())["pre_tokenizer"] == _BYTE_LEVEL:
+            words = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(words.values()) + 1, dtype=bool)
+            self.opens[[k for word, k in words.items() if word[0] == SPACE]] = True
         if self.safe and (special := self.tokenizer.get_added_tokens_decoder()):
             self.mark_id = min(special)
             self.mark = special[self.mark_id].content
@@ -132,6 +139,10 @@ class Encoder:
         """The ids of all texts end to end, and how many each has."""
         n, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for run in by_bytes(texts, BATCH_BYTES):
+            if self.opens is not None and (told := self._by_spaces(run)):
+                ids.append(told[0])
+                n.append(told[1])
+                continue
             if not hasattr(self.tokenizer, "encode_batch_fast"):
                 made = self.tokenizer.encode(run, num_threads=1)
             elif self.mark and not any(self.has_mark(t) for t in run):
@@ -148,6 +159,21 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(made), np.uint32))
         return np.concatenate(ids), np.concatenate(n)
 
+    def _by_spaces(self, run: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers, from one text of all pieces, if each has one space, its first character.
+
+        The cuts between them are safe, and a byte-level token that begins with
+        the letter of a space begins a piece; None if these are not as many as the pieces.
+        """
+        text = "".join(run)
+        if text.count(" ") != len(run) or not all(t[0] == " " for t in run):
+            return None
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        at = np.nonzero(self.opens[ids])[0]
+        if len(at) != len(run) or at[0]:
+            return None
+        return ids, np.diff(np.append(at, len(ids)))
+
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """New numbers for the pieces."""
         ids, n = self._ask(pieces)
