@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Texts may be long, so batches are kept short.
 ARROW_ROWS = 512
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
+# Python workers outlive their stage, so what they free goes back to
+# the machine at once (glibc keeps arrays of up to 32 MB otherwise, Arrow its pool).
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of texts that are encoded together, so that more of their words are the same.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Bits of the filter that spares rows a shuffle: a broadcast of at most
 #: ``SLOTS`` / 64 rows whatever the input.
 SLOTS = 1 << 26
@@ -33,6 +36,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -30,7 +30,7 @@ from larkspur.llm.common import by_bytes
 
 #: Pieces that a worker process remembers (about 60 bytes each, in Arrow), and the
 #: longest one remembered, in characters. When there are more, all are forgotten.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 64
+CACHE_PIECES, CACHE_CHARS = 500_000, 64
 #: Pieces at the start of a text that it remembers.
 CACHE_FIRST = 50_000
 #: Ids that the memory may hold.
@@ -67,11 +67,19 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def cuts_are_safe(tokenizer) -> bool:
-    """Whether the tokenizer's normaliser, pre-tokenizer and special strings are ones that the cuts are made for."""
+def rules_of(tokenizer) -> dict | None:
+    """The tokenizer's rules without vocabulary and merges, None if it has no such."""
     if not hasattr(tokenizer, "to_str"):
-        return False
+        return None
     rules = json.loads(tokenizer.to_str())
+    rules["model"] = {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}
+    return rules
+
+
+def cuts_are_safe(rules: dict | None) -> bool:
+    """Whether normaliser, pre-tokenizer and special strings are ones that the cuts are made for."""
+    if rules is None:
+        return False
     form = rules["normalizer"], rules["pre_tokenizer"]
     plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
     whole = rules["truncation"] is None and rules["padding"] is None and not rules["model"].get("dropout")
@@ -114,9 +122,10 @@ class Encoder:
     def __init__(self, path: str, keep_ids: bool) -> None:
         self.tokenizer, self.keep_ids = load(path), keep_ids
         self.uses, self.timer = 0, None
-        self.safe = cuts_are_safe(self.tokenizer)
+        rules = rules_of(self.tokenizer)
+        self.safe = cuts_are_safe(rules)
         self.mark, self.mark_id, self.has_mark, self.opens = "", -1, None, None
-        if self.safe and json.loads(self.tokenizer.to_str())["pre_tokenizer"] == _BYTE_LEVEL:
+        if self.safe and rules["pre_tokenizer"] == _BYTE_LEVEL:
             words = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(words.values()) + 1, dtype=bool)
             self.opens[[k for word, k in words.items() if word[0] == SPACE]] = True
