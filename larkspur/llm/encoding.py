@@ -30,7 +30,7 @@ from larkspur.llm.common import by_bytes
 
 #: Pieces that a worker process remembers (about 60 bytes each, in Arrow), and the
 #: longest one remembered, in characters. When there are more, all are forgotten.
-CACHE_PIECES, CACHE_CHARS = 500_000, 64
+CACHE_PIECES, CACHE_CHARS = 600_000, 64
 #: Pieces at the start of a text that it remembers.
 CACHE_FIRST = 50_000
 #: Ids that the memory may hold.
