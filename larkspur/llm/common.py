@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Texts may be long, so batches are kept short.
 ARROW_ROWS = 512
-ARROW_BYTES = 1 << 20
+ARROW_BYTES = 2 << 20
 # Python workers outlive their stage, so what they free goes back to
 # the machine at once (glibc keeps arrays of up to 32 MB otherwise, Arrow its pool).
 WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
