@@ -1,21 +1,24 @@
 """Text search over the catalogue: field weights, boolean queries, content neighbours.
 
-Tokens are runs of a-z and 0-9 in lower case, without stop words and stems. A
+Tokens are stems of runs of a-z and 0-9 in lower case, without stop words. A
 query has words (all must occur), quoted phrases, ``or`` between alternatives
 and a leading minus for exclusion. Relevance is the weighted number of
-occurrences of the query's words, log-damped.
+occurrences of the query's words, and of fields in which two that follow each
+other in the query stand side by side, log-damped.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions.exprs import minmax, rnd
+from larkspur.functions.words import stems, stems_of
 from larkspur.operators import serving
 from larkspur.operators.features import Layer
 
@@ -24,11 +27,7 @@ FIELDS = {"name": 1.0, "brand": 0.4, "subcategory": 0.4, "description": 0.2}
 TEXT_SHARE, POPULARITY_SHARE = 0.70, 0.30
 #: Fixed value: how a content neighbour relates.
 CONTENT = "Similar catalogue entry, no purchase history yet"
-SAMPLE_QUERY = 'small bolt or "red widget" or gear -hot'
-
-
-def tokens(column: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(column)), "[^a-z0-9]+"), lambda t: t != "")
+SAMPLE_QUERY = 'small bolts or "the red widgets" or gears -hot'
 
 
 def _occurrences(words: list[str]) -> Column:
@@ -40,26 +39,36 @@ def _occurrences(words: list[str]) -> Column:
     return total
 
 
+def _holds(field: str, phrase: list[str]) -> Column:
+    return F.contains(F.concat(F.lit(" "), F.array_join(f"t_{field}", " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
+
+
 def _has(phrase: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(F.concat(F.lit(" "), F.array_join(f"t_{f}", " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} ")) for f in FIELDS))
+    return reduce(lambda a, b: a | b, (_holds(f, phrase) for f in FIELDS))
+
+
+def _side_by_side(pairs: list[list[str]]) -> Column:
+    return sum((F.when(_holds(field, pair), weight).otherwise(0.0) for field, weight in FIELDS.items() for pair in pairs), F.lit(0.0))
 
 
 def parse(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
-    """Alternatives of phrases that must all occur, and phrases that must not."""
+    """Alternatives of phrases that must all occur, and phrases that must not, as stems."""
     groups: list[list[list[str]]] = [[]]
     banned: list[list[str]] = []
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
-        phrase = re.findall(r"[a-z0-9]+", (quoted or word).lower())
-        if not minus and not quoted and phrase == ["or"]:
+        if not minus and not quoted and word.lower() == "or":
             groups.append([])
-        elif phrase:
+        elif phrase := stems_of(quoted or word):
             (banned if minus else groups[-1]).append(phrase)
     return [g for g in groups if g], banned
 
 
 def _indexed(layer: Layer) -> DataFrame:
-    rows = layer.retail.products
-    return rows.withColumns({f"t_{f}": tokens(f) for f in FIELDS})
+    """The products with the tokens of their fields, which the generator makes once a
+    row; as plain columns they would be made anew in every condition."""
+    texts = F.array(*(F.coalesce(f, F.lit("")) for f in FIELDS))
+    rows = layer.retail.products.select("*", F.explode(F.array(F.transform(texts, stems))).alias("fields"))
+    return rows.withColumns({f"t_{f}": F.col("fields")[i] for i, f in enumerate(FIELDS)}).drop("fields")
 
 
 def _matching(layer: Layer, query: str) -> DataFrame:
@@ -72,7 +81,9 @@ def _matching(layer: Layer, query: str) -> DataFrame:
     for phrase in banned:
         match = match & ~_has(phrase)
     words = sorted({w for g in groups for p in g for w in p})
-    return _indexed(layer).where(F.col("is_active") & match).withColumn("text_rank", rnd(F.log1p(_occurrences(words)), 6))
+    pairs = sorted({pair for g in groups for pair in pairwise(w for p in g for w in p)})
+    hits = _occurrences(words) + _side_by_side([list(p) for p in pairs])
+    return _indexed(layer).where(F.col("is_active") & match).withColumn("text_rank", rnd(F.log1p(hits), 6))
 
 
 def search(layer: Layer, query: str, limit: int = 20) -> DataFrame:

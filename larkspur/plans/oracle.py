@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from larkspur.functions.words import RULES, STOP
+
 
 def _r(x: str, n: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(30,10)), {n}) AS DOUBLE)"
@@ -29,6 +31,15 @@ def _decay(t: str, half: int) -> str:
     return f"pow(0.5::DOUBLE, greatest({_AGE.format(t=t)}, 0) / {half}.0::DOUBLE)"
 
 
+def _stems(field: str) -> str:
+    cut = "t"
+    for old, new in RULES:
+        cut = f"""regexp_replace({cut}, '{old}', '{new.replace("$", chr(92))}', 'g')"""
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    words = f"list_filter(string_split_regex(lower({field}), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({stop}))"
+    return f"list_transform({words}, lambda t: CASE WHEN length(t) <= 2 THEN t ELSE {cut} END)"
+
+
 _KINDS = ", ".join(f"count(*) FILTER (interaction_type = '{k}') AS {k}_count" for k in ("view", "wishlist", "cart", "purchase"))
 
 _CTES: dict[str, str] = {
@@ -134,7 +145,7 @@ _CTES: dict[str, str] = {
       FROM served s CROSS JOIN pop p WHERE is_active AND NOT EXISTS (SELECT 1 FROM upf f WHERE f.user_id = s.user_id AND f.product_id = p.product_id AND has_purchased) QUALIFY rank <= 10""",
     "cfbase": f"""SELECT user_id, product_id, {_r("cf_score", 6)} AS score, row_number() OVER (PARTITION BY user_id ORDER BY {_r("cf_score", 6)} DESC, product_id) AS rank
       FROM cf c JOIN products p USING (product_id) WHERE is_active AND NOT EXISTS (SELECT 1 FROM upf f WHERE f.user_id = c.user_id AND f.product_id = c.product_id AND has_purchased) QUALIFY rank <= 10""",
-    "tokens": f"""SELECT *, {", ".join(f"list_filter(string_split_regex(lower({f}), '[^a-z0-9]+'), lambda t: t <> '') AS t_{f}" for f in ("name", "brand", "subcategory", "description"))} FROM products""",
+    "tokens": f"""SELECT *, {", ".join(f"{_stems(f)} AS t_{f}" for f in ("name", "brand", "subcategory", "description"))} FROM products""",
     "content": f"""SELECT s.product_id AS source_product_id, t.product_id, t.name AS product_name, t.category_name AS category, t.brand, t.price,
         {_r("ln(1 + " + " + ".join(f"{w}::DOUBLE * len(list_filter(t.t_{f}, lambda x: list_contains(s.need, x)))" for f, w in (("name", 1.0), ("brand", 0.4), ("subcategory", 0.4), ("description", 0.2))) + ")", 6)} AS similarity_score,
         CAST(0 AS BIGINT) AS common_users, 'content' AS similarity_basis, 'Similar catalogue entry, no purchase history yet' AS relationship
@@ -276,12 +287,13 @@ def _ledger() -> dict[str, str]:
 
 def _behaviour() -> dict[str, str]:
     act = "count(*) FILTER (interaction_type = '{}')".format
-    text = "' ' || array_to_string(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: t <> ''), ' ') || ' '".format
+    text = lambda f: f"' ' || array_to_string({_stems(f)}, ' ') || ' '"
     fields = (("name", 1.0), ("brand", 0.4), ("subcategory", 0.4), ("description", 0.2))
     words = ("bolt", "gear", "red", "small", "widget")
     occurs = " + ".join(f"len(list_filter(string_split(x_{f}, ' '), lambda t: t = '{w}')) * {v}::DOUBLE" for f, v in fields for w in words)
     has = lambda p: "(" + " OR ".join(f"contains(x_{f}, ' {p} ')" for f, _ in fields) + ")"
-    matched = f"""SELECT product_id, name AS product_name, category_name AS category, brand, price, {_r(f"ln(1 + {occurs})", 6)} AS text_rank
+    near = " + ".join(f"CASE WHEN contains(x_{f}, ' {p} ') THEN {v}::DOUBLE ELSE 0 END" for f, v in fields for p in ("small bolt", "red widget"))
+    matched = f"""SELECT product_id, name AS product_name, category_name AS category, brand, price, {_r(f"ln(1 + {occurs} + {near})", 6)} AS text_rank
             FROM (SELECT *, {", ".join(f"{text(f)} AS x_{f}" for f, _ in fields)} FROM products)
             WHERE is_active AND (({has("small")} AND {has("bolt")}) OR {has("red widget")} OR {has("gear")}) AND NOT {has("hot")}"""
     searched = f"""SELECT product_id, product_name, category, brand, price, text_rank, {_r(_mm("text_rank", "()", 1) + " * 0.7::DOUBLE + " + _mm("popularity_score", "()", 1) + " * 0.3::DOUBLE", 6)} AS blended_score

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur import harness
-from larkspur.functions import sql
+from larkspur.functions import sql, words
 from larkspur.functions.places import medians, rank_threshold
 from larkspur.operators import api, evaluation, search, serving
 from larkspur.operators.features import RELATIONS, Layer, refreshed, stored
@@ -60,6 +60,33 @@ def test_unknown_strategy(layer):
 
 def test_query_syntax():
     assert search.parse('small bolt or "red widget" -hot') == ([[["small"], ["bolt"]], [["red", "widget"]]], [["hot"]])
+    assert search.parse('small bolts OR "the running widgets" -hopping') == ([[["small"], ["bolt"]], [["run", "widget"]]], [["hop"]])
+    assert search.parse("the of") == ([], [])
+
+
+def test_stems(spark):
+    known = (
+        "caresses:caress ponies:poni ties:tie cats:cat gas:gas this:this agreed:agre feed:feed plastered:plaster bled:bled motoring:motor sing:sing "
+        "troubled:troubl sized:size hopping:hop hoping:hope falling:fall filing:file happy:happi say:say by:by relational:relat conditional:condit "
+        "rational:ration digitizer:digit consistency:consist adoption:adopt knightly:knight formalize:formal hopeful:hope goodness:good revival:reviv "
+        "allowance:allow adjustment:adjust replacement:replac probate:probat rate:rate cease:ceas controlling:control roll:roll effective:effect"
+    )
+    pairs = [p.split(":") for p in known.split()]
+    rows = spark.createDataFrame(pairs, "word string, stem string").withColumn("got", words.stem(F.col("word"))).collect()
+    assert [(r["word"], r["got"]) for r in rows if r["got"] != r["stem"]] == []
+    assert [w for w, s in pairs if words.stem_of(w) != s] == []
+    text = "The Small bolts, and RED widgets: running! size_1"
+    assert spark.range(1).select(words.stems(F.lit(text)).alias("s")).first()["s"] == words.stems_of(text) == ["small", "bolt", "red", "widget", "run", "size", "1"]
+    assert spark.range(1).select(words.stems(F.lit("")).alias("s")).first()["s"] == []
+
+
+def test_words_side_by_side_rank_higher(layer):
+    near = {r["product_id"]: r for r in search.matches(layer, "small bolt", 100).collect()}
+    far = {r["product_id"]: r for r in search.matches(layer, "bolts small", 100).collect()}
+    assert set(near) == set(far)  # the order of the words decides only the rank
+    beside = {i for i, r in near.items() if "small bolt" in r["name"]}
+    assert beside and all(near[i]["rank"] > far[i]["rank"] for i in beside)
+    assert all(near[i]["rank"] == far[i]["rank"] for i in set(near) - beside)
 
 
 def test_missing_csv(spark, tmp_path):
