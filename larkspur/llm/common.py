@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ ENCODE_BYTES = 2 << 20
 #: Bits of the filter that spares rows a shuffle: a broadcast of at most
 #: ``SLOTS`` / 64 rows whatever the input.
 SLOTS = 1 << 26
+#: Ranges that ``quantile`` counts by in a pass; so many rows come to the driver.
+RANGES = 1024
 #: Bytes that a task holds of a Parquet file it writes to shared storage.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -170,6 +173,32 @@ def perhaps(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     return probe.join(F.broadcast(bits), "word", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("word", "bit", "bits")
 
 
+def quantile(rows: DataFrame, value: str, share: float) -> float | None:
+    """The exact quantile of all finite doubles of a column, as numpy's default has it; None without any.
+
+    A pass counts the values by ``RANGES`` equal ranges and the next one looks
+    into the range that holds the place, until that is a single value, so
+    neither a task nor the driver holds more than the ranges. Reads ``rows`` a
+    few times: write them first if they cost much.
+    """
+    x = F.col(value)
+    low, high, n = rows.agg(F.min(x), F.max(x), F.count(x)).first()
+    if not n:
+        return None
+    at = (n - 1) * share
+    place, before = int(at), 0
+    while low < high:
+        part = F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(RANGES)))
+        counted = rows.where(x.between(low, high)).groupBy(part).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"))
+        for r in sorted(counted.collect(), key=lambda r: r["low"]):
+            if before + r["n"] > place:
+                low, high = r["low"], r["high"]
+                break
+            before += r["n"]
+    until, above = rows.agg(F.count(F.when(x <= low, x)), F.min(F.when(x > low, x))).first()
+    return float(np.quantile([low, low if until > place + 1 or above is None else above], at - place))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", steps: Steps | None = None) -> DataFrame:
     """Connected components of an undirected graph of long ids.
 

@@ -18,6 +18,8 @@ from larkspur.llm.common import Steps, prepare, text_of
 #: N-grams of a profile, and documents a language's profile is fitted on at
 #: most (in expectation: those whose hashed id falls below the share).
 PROFILE, SAMPLE = 400, 3000
+#: N-grams that a task takes before it adds up their counts.
+HELD = 1 << 19
 #: Values of ``lang`` whose shares are broadcast; more are joined by a shuffle.
 LANGS = 10_000
 #: No letter at all.
@@ -97,8 +99,8 @@ def profiles_of(rows: dict[str, tuple[np.ndarray, np.ndarray]], n: int = PROFILE
     return Profiles(langs, codes, ranks, n)
 
 
-def train(docs: DataFrame, n: int = PROFILE, sample: int = SAMPLE) -> Profiles:
-    """Profiles of the values of ``lang``, each from about ``sample`` whole documents at most.
+def train(docs: DataFrame, n: int = PROFILE, sample: int | None = SAMPLE) -> Profiles:
+    """Profiles of the values of ``lang``, each from about ``sample`` whole documents at most (None: from all).
 
     Rows with null lang, text or doc_id teach nothing. Counts are summed in
     Spark; a few times ``n`` n-grams a language come to the driver.
@@ -106,33 +108,44 @@ def train(docs: DataFrame, n: int = PROFILE, sample: int = SAMPLE) -> Profiles:
     prepare(docs.sparkSession)
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     taught = taught.where("doc_id is not null and lang is not null and text is not null")
-    sizes = docs.where("doc_id is not null and lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count()
-    share = sizes.select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("share"))
-    part = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        taken = 0
 
-        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
-            codes, at = np.unique(np.concatenate([c for c, _ in held[lang]]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([k for _, k in held[lang]]), len(codes)).astype(np.int64)
-            held[lang] = [(codes, counts)]
-            return codes, counts
+        def merged() -> int:
+            for lang, parts in held.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                held[lang] = [(codes, np.bincount(at, np.concatenate([k for _, k in parts]), len(codes)).astype(np.int64))]
+            return sum(len(c) for parts in held.values() for c, _ in parts)
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for lang, [(codes, times)] in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(times)], names=["lang", "code", "n"])
+            held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, []).append(ngrams(text))
-                if len(held[lang]) > 200:
-                    merged(lang)
-        for lang in held:
-            codes, counts = merged(lang)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(counts)], names=["lang", "code", "n"])
+                grams = ngrams(text)
+                held.setdefault(lang, []).append(grams)
+                taken += 1 + len(grams[0])
+                if taken > HELD:
+                    taken = merged()
+                    if taken > HELD // 2:  # few are the same: Spark adds up the rest
+                        yield from counts()
+                        taken = 0
+        merged()
+        yield from counts()
 
     with Steps(docs.sparkSession) as steps:
-        share = steps.write(share, "shares")
-        few = share.limit(LANGS + 1).count() <= LANGS
-        chosen = taught.join(F.broadcast(share) if few else share, "lang").where(part < F.col("share")).select("lang", "text")
-        counted = chosen.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        chosen = taught
+        if sample is not None:
+            sizes = docs.where("doc_id is not null and lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count()
+            share = steps.write(sizes.select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("share")), "shares")
+            few = share.limit(LANGS + 1).count() <= LANGS
+            part = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+            chosen = taught.join(F.broadcast(share) if few else share, "lang").where(part < F.col("share"))
+        counted = chosen.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
         order = W.partitionBy("lang", F.pmod(F.xxhash64("code"), F.lit(_SPREAD))).orderBy(F.desc("n"), "code")
         kept = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("lang", "code", "n")
         got = kept.toPandas()  # languages x _SPREAD x n rows at most

@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import encoding, langid, neardup, quality
+from larkspur.llm import common, encoding, langid, neardup, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +40,36 @@ def test_language_rejects_what_resembles_no_language(spark):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+def test_language_stage_learns_from_all_documents(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randrange(2, 7))) for _ in range(300)]
+    texts = [" ".join(rnd.choice(words) if rnd.random() < i / 12_000 else "".join(rnd.choice("jklmnopqrs") for _ in range(4)) for _ in range(6)) for i in range(12_000)]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    seen, floor_of = [], corpus_pipeline.language_floor
+    monkeypatch.setattr(corpus_pipeline, "language_floor", lambda d, p: seen.append((p, floor_of(d, p))) or seen[-1][1])
+    monkeypatch.setattr(langid, "HELD", 3000, raising=False)
+    kept = corpus_pipeline.language_id(spark, docs, SF).count()
+    [(profiles, floor)] = seen
+    codes, times = (np.concatenate(a) for a in zip(*map(langid.ngrams, texts), strict=True))
+    codes, at = np.unique(codes, return_inverse=True)
+    want = langid.profiles_of({"xx": (codes, np.bincount(at, times).astype(np.int64))})
+    assert np.array_equal(profiles.codes, want.codes) and np.array_equal(profiles.ranks, want.ranks)
+    scores = np.array([want.predict(t)[1] for t in texts])
+    assert floor == 0.5 * np.quantile(scores, 0.01) and kept == (scores >= floor).sum()
+
+
+@pytest.mark.parametrize("ranges", [16, 1024])
+def test_quantiles_are_exact(spark, monkeypatch, ranges):
+    monkeypatch.setattr(common, "RANGES", ranges)
+    rnd = np.random.default_rng(2)
+    near = 0.25 + np.spacing(0.25) * np.arange(9)
+    for values in ([0.5], [0.0, 1.0], np.round(rnd.random(500), 2), np.concatenate([rnd.random(300) ** 9, near, near])):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "score double")
+        for share in (0.01, 0.37, 1.0):
+            assert common.quantile(rows, "score", share) == np.quantile(values, share), (len(values), share)
+    assert common.quantile(rows.where("score is null"), "score", 0.01) is None
+
+
 def test_quality_threshold_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
     half = F.pmod(F.xxhash64(F.lit("split"), "doc_id"), F.lit(2))
